@@ -13,12 +13,11 @@ from pyspark.sql import types as T
 
 from factlode.functions import ids, periods, text
 from factlode.functions.html import html_to_text, html_to_text_jvm
-from factlode.functions.relations import values_frame
 from factlode.operators import (
     audit, company, evidence, filings_text, forensics, history, metrics, normalize, peers, quality, retrieval,
 )
 from factlode.plans.analysis import analyze
-from factlode.registries import MAPPINGS
+from factlode.session import cut_lineage
 from factlode.sources import adapters, payloads, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,7 +70,17 @@ class Inputs:
 
     @cached_property
     def signals(self) -> DataFrame:
-        return forensics.signals(self.anomalies, self.tests)
+        return forensics.ranked_signals(self.results)
+
+    @cached_property
+    def signal_table(self) -> DataFrame:
+        """Signals as the written table that retrieval and audit start from."""
+        return cut_lineage(self.signals)
+
+    @cached_property
+    def result_table(self) -> DataFrame:
+        """Metric results as the written table that tests, anomalies and peers start from."""
+        return cut_lineage(self.results)
 
     @cached_property
     def companies(self) -> DataFrame:
@@ -100,11 +109,11 @@ class Inputs:
 
     @cached_property
     def hits(self) -> DataFrame:
-        return retrieval.bm25_search(self.chunks, self.queries, 10, stemmed=False)
+        return retrieval.bm25_search(self.chunks, self.queries, 10, stemmed=False, phrases=False)
 
     @cached_property
     def packets(self) -> DataFrame:
-        return evidence.evidence_packets(self.signals, self.chunks, stemmed=False)
+        return evidence.evidence_packets(self.signal_table, self.chunks, stemmed=False)
 
     @cached_property
     def run(self) -> dict[str, DataFrame]:
@@ -342,12 +351,13 @@ def _(i: Inputs) -> DataFrame:
 
 @query("c6_anomaly_tests")
 def _(i: Inputs) -> DataFrame:
-    return forensics.matched_anomalies(i.anomalies, i.tests).select("cik", "anomaly_id", "metric_id", "test_id", "robust_z_score")
+    results = i.result_table
+    return forensics.matched_anomalies(forensics.anomalies(results), forensics.forensic_tests(results)).select("cik", "anomaly_id", "metric_id", "test_id", "robust_z_score")
 
 
 @query("c7_peer_cohort")
 def _(i: Inputs) -> DataFrame:
-    found = peers.peer_context(i.companies, i.results, PEER_POLICY)
+    found = peers.peer_context(i.companies, i.result_table, PEER_POLICY)
     return found.select("cik", "metric_id", "end_date", "peer_count", "peer_assets_from", "peer_assets_to", "reason")
 
 
@@ -368,7 +378,9 @@ def _(i: Inputs) -> DataFrame:
 
 @query("c11_signal_metrics")
 def _(i: Inputs) -> DataFrame:
-    return audit.signal_metrics(i.signals, i.tests, i.results).select("cik", "metric_result_id", "metric_id")
+    results = i.result_table
+    tests, signals = forensics.forensic_tests(results), forensics.ranked_signals(results)
+    return audit.signal_metrics(signals, tests, results).select("cik", "metric_result_id", "metric_id")
 
 
 @query("c12_claim_references")
@@ -421,7 +433,7 @@ def _(i: Inputs) -> DataFrame:
 
 @query("d4_peer_statistics")
 def _(i: Inputs) -> DataFrame:
-    return peers.peer_statistics(peers.aligned_results(i.companies, i.results), PEER_POLICY).where("peer_count > 0")
+    return peers.peer_statistics(peers.aligned_results(i.companies, i.result_table), PEER_POLICY).where("peer_count > 0")
 
 
 @query("d5_run_summary")
@@ -553,8 +565,9 @@ def _(i: Inputs) -> DataFrame:
 
 @query("e13_greedy_evidence")
 def _(i: Inputs) -> DataFrame:
-    hits = retrieval.bm25_search(i.chunks, evidence.signal_queries(i.signals), 8, stemmed=False, phrases=False)
-    return evidence.assign_hits(i.signals, hits).select("cik", "packet_order", "signal_id", "chunk_id")
+    queries = evidence.signal_queries(i.signal_table)
+    hits = retrieval.bm25_search(i.chunks, queries, 8, stemmed=False, phrases=False)
+    return evidence.assign_hits(queries, hits).select("cik", "packet_order", "signal_id", "chunk_id")
 
 
 @query("e14_section_numbering")
@@ -564,7 +577,7 @@ def _(i: Inputs) -> DataFrame:
 
 @query("e15_run_caps")
 def _(i: Inputs) -> DataFrame:
-    signals, _packets = audit.run_inputs(i.signals, i.packets)
+    signals, _packets = audit.run_inputs(i.signal_table, i.packets)
     return signals.select("cik", "run_position", "signal_id")
 
 
@@ -673,7 +686,7 @@ def _(i: Inputs) -> DataFrame:
 
 @query("h3_stable_ids")
 def _(i: Inputs) -> DataFrame:
-    return audit.run_records(i.companies, i.signals, i.packets, *WINDOW)
+    return audit.run_records(i.companies, i.signal_table, i.packets, *WINDOW)
 
 
 @query("h4_period_classes")
@@ -755,7 +768,7 @@ def _(i: Inputs) -> DataFrame:
 
 @query("i7_peer_context")
 def _(i: Inputs) -> DataFrame:
-    return peers.peer_context(i.companies, i.results, PEER_POLICY).drop("peer_assets_from", "peer_assets_to")
+    return peers.peer_context(i.companies, i.result_table, PEER_POLICY).drop("peer_assets_from", "peer_assets_to")
 
 
 @query("i8_filing_chunks")
@@ -766,7 +779,7 @@ def _(i: Inputs) -> DataFrame:
 
 @query("i9_search")
 def _(i: Inputs) -> DataFrame:
-    return i.hits
+    return retrieval.bm25_search(i.chunks, i.queries, 10, stemmed=False, phrases=True)
 
 
 @query("i9_search_stemmed")
@@ -792,7 +805,10 @@ def _(i: Inputs) -> DataFrame:
 
 @query("i13_audit_lineage")
 def _(i: Inputs) -> DataFrame:
-    return audit.audit_manifest(audit.audit_lineage(i.results, i.tests, i.signals, i.packets))
+    results = i.result_table
+    signals = cut_lineage(forensics.ranked_signals(results))
+    packets = evidence.evidence_packets(signals, i.chunks, stemmed=False)
+    return audit.audit_manifest(audit.audit_lineage(results, forensics.forensic_tests(results), signals, packets))
 
 
 @query("i14_claim_audit")
@@ -808,7 +824,7 @@ def _(i: Inputs) -> DataFrame:
 
 @query("i16_analyze")
 def _(i: Inputs) -> DataFrame:
-    done = analyze(i.raw)
+    done = analyze(i.raw, materialize=True)
     return history.dataset_counts(done.datasets())
 
 

@@ -93,10 +93,9 @@ def audit_manifest(lineage: DataFrame, key: str = "cik") -> DataFrame:
 # -------------------------------------------------------------------------------- claims
 def _references(claims: DataFrame, key: str) -> DataFrame:
     """(key, role, claim, kind, id) for every reference of every claim, in one explode."""
-    each = F.flatten(F.array(*[
-        F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda r, k=kind: F.struct(F.lit(k).alias("kind"), r.alias("reference_id")))
-        for kind, c in REFERENCE_COLUMNS.items()
-    ]))
+    tagged = lambda kind: lambda r: F.struct(F.lit(kind).alias("kind"), r.alias("reference_id"))
+    none = F.array().cast("array<string>")
+    each = F.concat(*[F.transform(F.coalesce(c, none), tagged(kind)) for kind, c in REFERENCE_COLUMNS.items()])
     return claims.select(key, "role", "claim_id", F.explode(each).alias("r")).select(key, "role", "claim_id", "r.*")
 
 

@@ -16,28 +16,31 @@ EXCERPT_CHARS = 700
 def signal_queries(signals: DataFrame) -> DataFrame:
     """Search text of each signal: its test name and evidence phrases."""
     text = F.concat_ws(" ", F.replace("test_id", F.lit("_"), F.lit(" ")), F.array_join("evidence_requirements", " "))
-    return signals.select(F.col("signal_id").alias("query_id"), "cik", text.alias("query"))
+    return signals.select(
+        F.col("signal_id").alias("query_id"), "cik", text.alias("query"), "signal_rank", "test_id")
 
 
-def assign_hits(signals: DataFrame, hits: DataFrame, max_packets: int = MAX_PACKETS) -> DataFrame:
+def assign_hits(queries: DataFrame, hits: DataFrame, max_packets: int = MAX_PACKETS) -> DataFrame:
     """Greedy assignment in signal order: each signal takes its best chunk not yet used.
 
     A company has at most ten signals with eight hits each, so its row is bounded and the
     sequential rule is a fold over it.  Signals of equal rank are ordered by id.
     """
-    candidates = hits.groupBy("cik", F.col("query_id").alias("signal_id")).agg(
+    candidates = hits.groupBy("cik", "query_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "score"))).alias("hits")
     )
-    ordered = signals.select("cik", "signal_id", "signal_rank").join(candidates, ["cik", "signal_id"]).groupBy("cik").agg(
-        F.array_sort(F.collect_list(F.struct("signal_rank", "signal_id", "hits"))).alias("queue")
+    entry = F.struct("signal_rank", F.col("query_id").alias("signal_id"), "hits", "query", "test_id")
+    ordered = queries.join(candidates, ["cik", "query_id"]).groupBy("cik").agg(
+        F.array_sort(F.collect_list(entry)).alias("queue")
     )
     picked = F.expr(f"""
         aggregate(queue,
-          CAST(array() AS ARRAY<STRUCT<signal_id: STRING, signal_rank: INT, chunk_id: STRING, score: DECIMAL(28,12)>>),
+          CAST(array() AS ARRAY<STRUCT<signal_id: STRING, signal_rank: INT, query: STRING, test_id: STRING,
+                                       chunk_id: STRING, score: DECIMAL(28,12)>>),
           (acc, s) -> CASE WHEN size(acc) >= {max_packets} THEN acc ELSE concat(acc, transform(
             slice(filter(s.hits, h -> NOT exists(acc, a -> a.chunk_id = h.chunk_id)), 1, 1),
-            h -> named_struct('signal_id', s.signal_id, 'signal_rank', s.signal_rank, 'chunk_id', h.chunk_id,
-                              'score', h.score))) END)
+            h -> named_struct('signal_id', s.signal_id, 'signal_rank', s.signal_rank, 'query', s.query,
+                              'test_id', s.test_id, 'chunk_id', h.chunk_id, 'score', h.score))) END)
     """)
     return ordered.select("cik", F.posexplode(picked).alias("packet_order", "p")).select("cik", "packet_order", "p.*")
 
@@ -85,11 +88,8 @@ def evidence_packets(
     """Citation-ready packets for ranked signals of all companies."""
     queries = signal_queries(signals)
     hits = bm25_search(chunks, queries, HITS_PER_SIGNAL, stemmed=stemmed, phrases=False, index=index)
-    picked = assign_hits(signals, hits, max_packets)
-    named = picked.join(
-        signals.select("cik", "signal_id", "test_id"), ["cik", "signal_id"]
-    ).join(queries.select("cik", F.col("query_id").alias("signal_id"), "query"), ["cik", "signal_id"])
-    joined = with_excerpt(named.join(chunks, ["cik", "chunk_id"]))
+    picked = assign_hits(queries, hits, max_packets)
+    joined = with_excerpt(picked.join(chunks, ["cik", "chunk_id"]))
     start = F.col("start_offset") + F.col("excerpt_start")
     end = start + F.length("excerpt")
     located = joined.withColumns({"start_offset": start, "end_offset": end})

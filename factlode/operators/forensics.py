@@ -113,16 +113,24 @@ def anomalies(results: DataFrame, by_basis: bool = False, history_ids: bool = Fa
     ``history_ids`` adds the ids of that prefix; the same list is given without storing it
     by the rows of the series whose ``sample_count`` is not larger.
     """
+    series = results.where((F.col("status") == "computed") & F.col("value").isNotNull())
+    return _series_statistics(series, by_basis, history_ids)
+
+
+def _series_statistics(
+    series: DataFrame, by_basis: bool = False, history_ids: bool = False, keep: tuple[str, ...] = (),
+) -> DataFrame:
+    """Statistics of the rows that have a value; rows without one are passed over."""
     ordered, _ = series_window(by_basis)
     prefix = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    series = results.where((F.col("status") == "computed") & F.col("value").isNotNull())
+    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
     windowed = {
         "history": F.collect_list("value").over(prefix),
-        "previous": F.lag("value").over(ordered),
+        "previous": F.last("value", ignorenulls=True).over(before),
     }
     if history_ids:
         windowed["input_metric_result_ids"] = F.collect_list("metric_result_id").over(prefix)
-    framed = series.withColumns(windowed).withColumns({
+    framed = series.withColumns(windowed).where(F.col("value").isNotNull()).withColumns({
         "sample_count": F.size("history"), "ascending": F.sort_array("history"),
     })
     # doubled centre, then four times the MAD: exact decimals throughout.  The deviations of
@@ -162,7 +170,7 @@ def anomalies(results: DataFrame, by_basis: bool = False, history_ids: bool = Fa
         half(half(F.col("mad4"), 16), 17).alias("median_absolute_deviation"),
         "robust_z_score", "rolling_percentile", "sample_count", "persistence",
         *(["input_metric_result_ids"] if history_ids else []),
-        explanation.alias("explanation"),
+        explanation.alias("explanation"), *keep,
     )
 
 
@@ -220,6 +228,45 @@ def signals(anomaly_rows: DataFrame, tests: DataFrame, policy: SignalPolicy = Si
     ``row_number() <= k`` is limited on the map side before the shuffle by company, so a
     company with many strong anomalies sends k rows per task.
     """
+    return _ranked(matched_anomalies(anomaly_rows, tests, policy), policy)
+
+
+def ranked_signals(
+    results: DataFrame, tests: tuple[Diagnostic, ...] = TESTS, policy: SignalPolicy = SignalPolicy(),
+) -> DataFrame:
+    """``signals(anomalies(results), forensic_tests(results))`` in one pass.
+
+    Whether a metric's test is computable depends on the metric's latest result, which is in
+    the same (company, metric) partition as its series.  So the anomalies, the latest result
+    and the test id come from one shuffle, and only metrics that have a test take part.
+    """
+    first: dict[str, Diagnostic] = {}
+    for test in sorted(tests, key=lambda t: t.test_id):
+        first.setdefault(test.metric, test)
+    whole = Window.partitionBy("cik", "metric_id")
+    tested = results.where(F.col("metric_id").isin(*sorted(first))).withColumn(
+        "latest", F.max(F.struct(
+            "end_date", order_date(F.col("start_date"), F.col("end_date")).alias("ordered"),
+            F.col("metric_result_id").alias("id"), "status", "start_date", "data_confidence",
+        )).over(whole)
+    ).where(F.col("latest.status") == "computed")
+    screened = _series_statistics(tested, keep=("latest",)).where(
+        F.abs("robust_z_score") >= float(policy.robust_z_threshold)
+    )
+    found = F.get(F.filter(tests_literal(tuple(first.values())), lambda t: t["metric_id"] == F.col("metric_id")), F.lit(0))
+    matched = screened.withColumn("t", found).select(
+        *[c for c in screened.columns if c != "latest"],
+        F.col("t.test_id").alias("test_id"), F.col("t.category").alias("category"),
+        F.col("t.evidence_requirements").alias("evidence_requirements"),
+        F.col("latest.data_confidence").alias("data_confidence"),
+        ids.stable_id(
+            TEST_VERSION, F.col("t.test_id"), F.col("latest.start_date"), F.col("latest.end_date"), F.col("latest.id"),
+        ).alias("test_result_id"),
+    )
+    return _ranked(matched, policy)
+
+
+def _ranked(matched: DataFrame, policy: SignalPolicy) -> DataFrame:
     threshold = float(policy.robust_z_threshold)
     confidence = F.coalesce(F.col("data_confidence"), F.lit(0))
     score = F.least(F.abs("robust_z_score") / threshold, F.lit(2.0)) * confidence.cast("double") / 2.0
@@ -230,7 +277,7 @@ def signals(anomaly_rows: DataFrame, tests: DataFrame, policy: SignalPolicy = Si
         F.lit(f" observations, threshold {policy.robust_z_threshold}, confidence "), confidence.cast("string"),
         F.lit("."),
     )
-    scored = matched_anomalies(anomaly_rows, tests, policy).select(
+    scored = matched.select(
         "cik", ids.stable_id(F.col("test_result_id"), F.col("anomaly_id")).alias("signal_id"),
         "category", "test_id", F.lit("moderate").alias("severity"), materiality.alias("materiality"), "persistence",
         confidence.alias("data_confidence"), "evidence_requirements", score.alias("score"),

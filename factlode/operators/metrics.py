@@ -3,8 +3,8 @@
 The reference semantics align every anchor result with every candidate of each further
 input.  Here a period becomes a *cell*: all results of one company that share end date,
 fiscal labels and start date.  A cell holds at most one row per metric, unit and basis, so
-its size is bounded by the registries, and every formula is evaluated inside its cell.
-Instants see the latest-starting duration of their period, durations see the instants;
+its size is bounded by the registries, and every formula is evaluated inside its cell,
+which gives back its own rows and the derived ones.  Instants see the latest-starting duration of their period, durations see the instants;
 both are brought in by windows over the same partitioning.  One shuffle serves all formulas.
 """
 
@@ -47,7 +47,7 @@ def reported_results(facts: DataFrame) -> DataFrame:
 
 
 def _entry() -> Column:
-    """A result as cell member; field order is the tie-break order."""
+    """A result as cell member; the first three fields are the tie-break order."""
     return F.struct(
         F.col("metric_id").alias("metric"),
         order_date(F.col("start_date"), F.col("end_date")).alias("ordered"),
@@ -57,40 +57,37 @@ def _entry() -> Column:
         F.col("data_confidence").alias("confidence"),
         F.col("input_fact_ids").alias("facts"),
         F.col("reporting_basis").alias("basis"),
+        "unit",
+        F.col("comparability_flags").alias("flags"),
+        F.col("not_computable_reason").alias("reason"),
+        F.col("formula_version").alias("version"),
     )
 
 
-def period_cells(results: DataFrame, metrics: set[str]) -> DataFrame:
+def period_cells(results: DataFrame) -> DataFrame:
     """Cells with their own rows and the results visible from the other period type."""
-    keyed = (
-        results.where(F.col("metric_id").isin(*sorted(metrics)))
-        .select(
-            "cik", "end_date", "start_date",
-            F.coalesce("fiscal_year", F.lit(NO_YEAR)).alias("year_key"),
-            F.coalesce("fiscal_period", F.lit(NO_LABEL)).alias("label_key"),
-            _entry().alias("e"),
-        )
-        .repartition(*GROUP)
-    )
+    keyed = results.select(
+        "cik", "end_date", "start_date",
+        F.coalesce("fiscal_year", F.lit(NO_YEAR)).alias("year_key"),
+        F.coalesce("fiscal_period", F.lit(NO_LABEL)).alias("label_key"),
+        _entry().alias("e"),
+    ).repartition(*GROUP)
     newest = Window.partitionBy(*GROUP, "e.metric").orderBy(
         F.col("e.computed").desc(), F.col("start_date").desc_nulls_last(), F.col("e.id").desc()
     )
     ranked = keyed.withColumn("position", F.row_number().over(newest))
+    is_newest = (F.col("position") == 1) & F.col("start_date").isNotNull()
     cells = ranked.groupBy(*GROUP, "start_date").agg(
-        F.collect_list("e").alias("rows"),
-        F.collect_list(F.when((F.col("position") == 1) & F.col("start_date").isNotNull(), F.col("e"))).alias("newest"),
+        F.collect_list("e").alias("rows"), F.collect_list(F.when(is_newest, F.col("e"))).alias("newest"),
     )
     whole = Window.partitionBy(*GROUP)
     instants = F.first(F.when(F.col("start_date").isNull(), F.col("rows")), ignorenulls=True).over(whole)
     durations = F.flatten(F.collect_list("newest").over(whole))
-    visible = F.when(F.col("start_date").isNull(), durations).otherwise(F.coalesce(instants, F.array().cast(
-        cells.schema["rows"].dataType)))
+    nothing = F.array().cast(cells.schema["rows"].dataType)
+    visible = F.when(F.col("start_date").isNull(), durations).otherwise(F.coalesce(instants, nothing))
     return cells.select(*GROUP, "start_date", "rows", visible.alias("visible"))
 
 
-ENTRY_FIELDS = ("metric", "ordered", "id", "computed", "value", "confidence", "facts", "basis")
-
-
 def _pick_sql(pool: str, metric: str) -> str:
     """The computed candidate with the greatest (start or end, id), or null."""
     return f"array_max(filter({pool}, e -> e.metric = '{metric}' AND e.computed))"
@@ -141,7 +138,7 @@ def _formula_sql(formula: Formula, own: str) -> str:
         f"'flags', CASE WHEN NOT {complete} THEN array('missing_inputs') WHEN t.s.zero THEN array('zero_denominator') "
         f"ELSE CAST(array() AS ARRAY<STRING>) END, "
         f"'reason', CASE WHEN NOT {complete} THEN concat('Missing required inputs: ', array_join(t.missing, ', ')) "
-        f"WHEN t.s.zero THEN 'Formula denominator is zero' END))"
+        f"WHEN t.s.zero THEN 'Formula denominator is zero' END, 'version', '{FORMULA_VERSION}'))"
     )
 
 
@@ -149,42 +146,37 @@ def _when_absent(metric: str) -> str:
     return f"CASE WHEN in_{metric}.id IS NULL THEN '{metric}' END"
 
 
-def _as_entries(results: str) -> str:
-    fields = ", ".join(f"'{f}', o.{f}" for f in ENTRY_FIELDS)
-    return f"transform({results}, o -> named_struct({fields}))"
+def formula_rounds(formulas: tuple[Formula, ...]) -> list[tuple[Formula, ...]]:
+    """Rounds of formulas whose inputs are produced by earlier rounds only."""
+    level: dict[str, int] = {}
+    rounds: list[list[Formula]] = []
+    for formula in formulas:
+        number = max((level[m] + 1 for m in formula.inputs if m in level), default=0)
+        level[formula.metric] = max(number, level.get(formula.metric, 0))
+        while len(rounds) <= number:
+            rounds.append([])
+        rounds[number].append(formula)
+    return [tuple(r) for r in rounds if r]
 
 
 def evaluate_cells(cells: DataFrame, formulas: tuple[Formula, ...]) -> DataFrame:
-    """Evaluate formulas in order inside every cell; later ones see earlier results."""
-    frame, derived, outputs = cells, [], []
-    pending = list(formulas)
-    while pending:
-        produced = {f.metric for f in pending}
-        ready = []
-        for formula in pending:
-            earlier = {f.metric for f in pending[: pending.index(formula)]}
-            if earlier & set(formula.inputs):
-                break
-            ready.append(formula)
-        # formulas further on that need nothing produced in this round join it
-        for formula in pending[len(ready):]:
-            if not produced & set(formula.inputs):
-                ready.append(formula)
-        own = "concat({})".format(", ".join(["rows", *[_as_entries(o) for o in derived]]))
-        pool = "concat({})".format(", ".join(["rows", "visible", *[_as_entries(o) for o in derived]]))
-        needed = sorted({m for f in ready for m in f.inputs[1:]})
-        if needed:
-            frame = frame.withColumns({f"in_{m}": F.expr(_pick_sql(pool, m)) for m in needed})
-        frame = frame.withColumns({f"out_{f.metric}": F.expr(_formula_sql(f, own)) for f in ready})
-        derived += [f"out_{f.metric}" for f in ready if any(f.metric in g.inputs for g in formulas)]
-        outputs += [f"out_{f.metric}" for f in ready]
-        pending = [f for f in pending if f not in ready]
-    flat = frame.select(*GROUP, "start_date", F.explode(F.flatten(F.array(*outputs))).alias("o"))
+    """The cells' own results followed by every formula's, in one explode."""
+    frame, earlier, outputs = cells, [], ["rows"]
+    for batch in formula_rounds(formulas):
+        own = f"concat({', '.join(['rows', *earlier])})"
+        pool = f"concat({', '.join(['rows', 'visible', *earlier])})"
+        needed = sorted({m for f in batch for m in f.inputs[1:]})
+        frame = frame.withColumns({f"in_{m}": F.expr(_pick_sql(pool, m)) for m in needed})
+        made = {f"out_{f.metric}": F.expr(_formula_sql(f, own)) for f in batch}
+        frame = frame.withColumns(made)
+        outputs += list(made)
+        earlier += [f"out_{f.metric}" for f in batch if any(f.metric in g.inputs for g in formulas)]
+    flat = frame.select(*GROUP, "start_date", F.explode(F.concat(*outputs)).alias("o"))
     return flat.select(
         "cik",
         F.col("o.id").alias("metric_result_id"),
         F.col("o.metric").alias("metric_id"),
-        F.lit(FORMULA_VERSION).alias("formula_version"),
+        F.col("o.version").alias("formula_version"),
         F.when(F.col("start_date").isNull(), "instant").otherwise("duration").alias("period_type"),
         "start_date", "end_date",
         F.when(F.col("year_key") != NO_YEAR, F.col("year_key")).alias("fiscal_year"),
@@ -231,9 +223,7 @@ def metric_results(
     """Reported and derived results; sort with ``order_results``."""
     results = reported_results(facts)
     for batch in formula_passes(formulas, mappings):
-        inputs = {m for f in batch for m in f.inputs}
-        derived = evaluate_cells(period_cells(results, inputs), batch)
-        results = results.unionByName(derived)
+        results = evaluate_cells(period_cells(results), batch)
     return results.select(*RESULT_COLUMNS)
 
 

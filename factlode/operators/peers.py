@@ -10,6 +10,7 @@ holding only the members that one of its targets can reach.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 from decimal import Decimal
 
@@ -103,19 +104,37 @@ _STATISTICS = (
 )
 
 
-def _cohort_statistics(band: pd.DataFrame) -> pd.DataFrame:
-    """Statistics of every target of one cohort band."""
-    members = band[band["is_member"]].sort_values(["assets", "cik"])
-    targets = band[band["is_target"]]
-    assets, values = members["assets"].to_numpy("int64"), members["value"].to_numpy("float64")
-    n = len(members)
-    low = np.searchsorted(assets, targets["low"].to_numpy("int64"), "left").astype("int64")
-    high = np.searchsorted(assets, targets["high"].to_numpy("int64"), "right").astype("int64")
-    high = np.maximum(low, high)
-    own = targets["value"].to_numpy("float64")
+def _positions(groups: np.ndarray, keys: np.ndarray, at_groups: np.ndarray, at: np.ndarray, before: bool) -> np.ndarray:
+    """How many (group, key) pairs lie below each (group, at) pair, equal ones included or not."""
+    tie = np.concatenate((np.zeros(len(keys)), np.full(len(at), -1 if before else 1)))
+    all_groups, all_keys = np.concatenate((groups, at_groups)), np.concatenate((keys, at))
+    order = np.lexsort((tie, all_keys, all_groups))
+    is_key = order < len(keys)
+    place = np.empty(len(order), "int64")
+    place[order] = np.cumsum(is_key)
+    return place[len(keys):]
+
+
+def _cohort_statistics(rows: pd.DataFrame) -> pd.DataFrame:
+    """Statistics of every target of some whole cohorts, all cohorts at once.
+
+    Members are laid out by (cohort, assets) and ranked by (cohort, value), so a range of
+    one cohort is a range of the whole and its order statistics are the cohort's own.
+    """
+    cohort = rows.groupby(_KEYS, sort=False).ngroup().to_numpy()
+    member, target = rows["is_member"].to_numpy(bool), rows["is_target"].to_numpy(bool)
+    columns = {c: rows[c].to_numpy() for c in ("cik", "assets", "value", "low", "high")}
+    order = np.lexsort((columns["cik"][member].astype(str), columns["assets"][member], cohort[member]))
+    groups, assets = cohort[member][order], columns["assets"][member][order].astype("int64")
+    values, n = columns["value"][member][order].astype("float64"), int(member.sum())
+    targets, at = rows[target], cohort[target]
+    own = columns["value"][target].astype("float64")
+    low = _positions(groups, assets, at, columns["low"][target].astype("int64"), True)
+    high = np.maximum(low, _positions(groups, assets, at, columns["high"][target].astype("int64"), False))
     # the target itself is a member of its range where its own size ratio of 1 is allowed
-    place = pd.Series(np.arange(n), index=members["cik"].to_numpy())
-    self_at = place.reindex(targets["cik"].to_numpy()).fillna(-1).to_numpy("int64")
+    self_place = np.full(len(rows), -1, "int64")
+    self_place[np.flatnonzero(member)[order]] = np.arange(n)
+    self_at = self_place[target]
     within = (self_at >= low) & (self_at < high)
     count = high - low - within
     out = {
@@ -125,7 +144,7 @@ def _cohort_statistics(band: pd.DataFrame) -> pd.DataFrame:
     names = ("first_quartile", "median", "third_quartile")
     if n == 0:
         return pd.DataFrame({**out, **{m: np.nan for m in names}, "percentile": np.nan})
-    order = np.argsort(values, kind="stable")
+    order = np.lexsort((values, groups))
     ascending, ranks = values[order], np.empty(n, "int64")
     ranks[order] = np.arange(n)
     self_rank = np.where(within, ranks[np.maximum(self_at, 0)], n)
@@ -140,12 +159,35 @@ def _cohort_statistics(band: pd.DataFrame) -> pd.DataFrame:
             edges.append(ascending[np.minimum(kth_smallest(ranks, low, high, usable), n - 1)])
         weight = position - floor
         out[name] = np.where(count > 0, edges[0] * (1 - weight) + edges[1] * weight, np.nan)
-    not_above = np.searchsorted(ascending, own, "right").astype("int64")
+    not_above = _positions(groups[order], ascending, at, own, False)
     below = count_below(ranks, low, high, not_above) - within
     out["percentile"] = np.where(count > 0, below / np.maximum(count, 1), np.nan)
     return pd.DataFrame(out)
 
 
+_KEYS = [*COHORT, "band"]
+_BATCH_ROWS = 100_000
+
+
+def _stream_cohorts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Cohorts arrive sorted; whole ones are evaluated together, an unfinished one waits."""
+    waiting: list[pd.DataFrame] = []
+    size = 0
+    for batch in batches:
+        waiting.append(batch)
+        size += len(batch)
+        if size < _BATCH_ROWS:
+            continue
+        rows = pd.concat(waiting, ignore_index=True)
+        unfinished = (rows[_KEYS] == rows[_KEYS].iloc[-1]).all(axis=1)
+        if not unfinished.all():
+            yield _cohort_statistics(rows[~unfinished].reset_index(drop=True))
+        waiting = [rows[unfinished]]
+        size = len(waiting[0])
+    if size:
+        yield _cohort_statistics(pd.concat(waiting, ignore_index=True))
+
+
 # --------------------------------------------------------------------------------- bands
 def _bands(policy: PeerPolicy) -> tuple[Column, Column]:
     """(band of a target, bands a member must be present in), from the logarithm of assets."""
@@ -179,7 +221,7 @@ def peer_statistics(aligned: DataFrame, policy: PeerPolicy) -> DataFrame:
         (F.col("band") == F.col("home")).alias("is_target"),
         ((F.col("confidence") >= F.lit(policy.min_confidence)) & F.array_contains("reach", F.col("band"))).alias("is_member"),
     )
-    return tagged.groupBy(*COHORT, "band").applyInPandas(_cohort_statistics, _STATISTICS)
+    return tagged.repartition(*_KEYS).sortWithinPartitions(*_KEYS).mapInPandas(_stream_cohorts, _STATISTICS)
 
 
 def peer_context(companies: DataFrame, results: DataFrame, policy: PeerPolicy | None) -> DataFrame:

@@ -56,10 +56,8 @@ def postings(chunks: DataFrame, stemmed: bool = True) -> DataFrame:
     if stemmed:
         counted = tokens.withColumn("t", F.explode(_stemmed_terms(*[F.col(f"{c}_tokens") for c in WEIGHTS])))
         return counted.select(*CHUNK_KEYS, "length", F.col("t.term").alias("term"), F.col("t.frequency").alias("frequency"))
-    weighted = F.concat(*[
-        F.transform(f"{c}_tokens", lambda t, w=w: F.struct(t.alias("term"), F.lit(w).alias("weight")))
-        for c, w in WEIGHTS.items()
-    ])
+    tagged = lambda weight: lambda t: F.struct(t.alias("term"), F.lit(weight).alias("weight"))
+    weighted = F.concat(*[F.transform(f"{c}_tokens", tagged(w)) for c, w in WEIGHTS.items()])
     # every token of a chunk is in one task, so the partial aggregate already yields the postings
     return (
         tokens.select(*CHUNK_KEYS, "length", F.explode(weighted).alias("t"))
@@ -101,11 +99,12 @@ def phrase_postings(chunks: DataFrame, phrases: DataFrame, stemmed: bool = True)
     a start with all votes is an occurrence.
     """
     tokens = chunk_tokens(chunks)
-    placed = F.concat(*[
-        F.transform(f"{c}_tokens", lambda t, i, c=c, w=w: F.struct(
-            F.lit(c).alias("part"), F.lit(w).alias("weight"), i.alias("place"), t.alias("token")))
-        for c, w in WEIGHTS.items()
-    ])
+
+    def tagged(part: str, weight: float):
+        return lambda t, i: F.struct(
+            F.lit(part).alias("part"), F.lit(weight).alias("weight"), i.alias("place"), t.alias("token"))
+
+    placed = F.concat(*[F.transform(f"{c}_tokens", tagged(c, w)) for c, w in WEIGHTS.items()])
     occurrences = tokens.select(*CHUNK_KEYS, "length", F.explode(placed).alias("t")).select(*CHUNK_KEYS, "length", "t.*")
     if stemmed:
         occurrences = occurrences.withColumn("token", porter_stem("token"))
@@ -148,9 +147,8 @@ def bm25_search(
         weighted = weighted.join(totals, "cik")
         n, average = F.col("n"), F.col("average")
     else:
-        statistics = corpus_statistics(chunks)
-        n = statistics.select("document_count").scalar()
-        average = statistics.select("average_length").scalar()
+        whole = corpus_statistics(chunks).select(F.struct("document_count", "average_length")).scalar()
+        n, average = whole["document_count"], whole["average_length"]
     df = F.col("document_frequency").cast("double")
     raw_idf = F.log((n - df + 0.5) / (df + 0.5))
     weighted = weighted.withColumns({
