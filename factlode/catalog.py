@@ -139,7 +139,8 @@ def plain(frame: DataFrame) -> DataFrame:
         if isinstance(kind, T.DecimalType):
             return column.cast("decimal(38,6)" if kind.scale > 6 else kind).cast("string")
         if isinstance(kind, T.DoubleType):
-            return F.round(column, 6)
+            # the same double operations as in the SQL text, so that equal inputs round equally
+            return F.rint(column * 1e6) / 1e6
         if isinstance(kind, (T.IntegerType, T.ShortType)):
             return column.cast("bigint")
         if isinstance(kind, T.ArrayType):
@@ -911,5 +912,5 @@ def _(i: Inputs) -> DataFrame:
     landed = adapters.companyfacts_payloads(i.spark, i.sf).withColumn("name", F.concat(F.lit("CIK"), "cik"))
     for _round in range(2):
         landed.select("name", "body").write.mode("append").partitionBy("name").option("lineSep", "\n").text(f"{base}/landing")
-        ingest_stream(i.spark, f"{base}/landing", f"{base}/warehouse", f"{base}/progress", buckets=8).awaitTermination()
+        ingest_stream(i.spark, f"{base}/landing", f"{base}/warehouse", f"{base}/progress", buckets=8, payload_per_line=True).awaitTermination()
     return tables.read_dataset(i.spark, f"{base}/warehouse", DATASET).select(*FACT_COLUMNS)

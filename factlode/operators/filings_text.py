@@ -51,7 +51,9 @@ def split_sections(documents: DataFrame, body: str = "body") -> DataFrame:
     rows = positioned.select(
         *[c for c in documents.columns if c != body],
         F.size("pieces").alias("piece_count"),
-        F.posexplode(F.arrays_zip(F.col("pieces").alias("text"), starts.alias("start"))).alias("piece", "s"),
+        F.posexplode(F.arrays_zip(
+            F.col("pieces").alias("text"), F.slice(starts, F.lit(1), F.size("pieces")).alias("start")
+        )).alias("piece", "s"),
     )
     kept = rows.where((F.col("piece_count") == 1) | (F.col("piece") > 0))
     text = F.col("s.text")

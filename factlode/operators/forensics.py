@@ -270,6 +270,7 @@ def _ranked(matched: DataFrame, policy: SignalPolicy) -> DataFrame:
     threshold = float(policy.robust_z_threshold)
     confidence = F.coalesce(F.col("data_confidence"), F.lit(0))
     score = F.least(F.abs("robust_z_score") / threshold, F.lit(2.0)) * confidence.cast("double") / 2.0
+    score = F.rint(score * 1e12) / 1e12  # equal up to rounding noise means equal: ties go by id
     materiality = F.abs(F.coalesce("year_over_year_change", "quarter_over_quarter_change"))
     explained = F.concat(
         F.lit("Moderate screening priority: |robust z|="), F.abs("robust_z_score").cast("string"), F.lit(" over "),

@@ -93,57 +93,81 @@ def _pick_sql(pool: str, metric: str) -> str:
     return f"array_max(filter({pool}, e -> e.metric = '{metric}' AND e.computed))"
 
 
-def _formula_sql(formula: Formula, own: str) -> str:
-    """SQL text giving one result struct per anchor row of the cell.
-
-    ``a`` is the anchor; the other inputs are the columns ``in_<metric>``.
-    """
+def _value_sql(formula: Formula) -> tuple[str, str]:
+    """SQL for (value, whether the denominator is zero); ``a`` is the anchor's row."""
     anchor, *others = formula.inputs
-    absent = f"filter(array({', '.join(_when_absent(m) for m in others)}), m -> m IS NOT NULL)"
-    if not others:
-        absent = "CAST(array() AS ARRAY<STRING>)"
-    used = ["a", *[f"in_{m}" for m in others]]
-    facts = "array_sort(flatten(filter(array({}), f -> f IS NOT NULL)))".format(
-        ", ".join(f"{u}.facts" for u in used))
     values = {anchor: "a.value", **{m: f"in_{m}.value" for m in others}}
     money = {m: f"CAST({v} AS {MONEY})" for m, v in values.items()}
     top = f"CAST({formula.numerator.format(**money)} AS {MONEY})"
-    value, zero = top, "false"
-    if formula.denominator is not None:
-        bottom = f"CAST({formula.denominator.format(**money)} AS {MONEY})"
-        value, zero = f"try_divide({top}, {bottom})", f"coalesce({bottom} = 0, false)"
-    id_text = (
-        f"sha2(concat_ws('|', '{FORMULA_VERSION}', '{formula.metric}', "
-        "coalesce(CAST(start_date AS STRING), ''), CAST(end_date AS STRING), array_join(s.facts, '|')), 256)"
+    if formula.denominator is None:
+        return f"CAST({top} AS {METRIC})", "false"
+    bottom = f"CAST({formula.denominator.format(**money)} AS {MONEY})"
+    return f"CAST(try_divide({top}, {bottom}) AS {METRIC})", f"coalesce({bottom} = 0, false)"
+
+
+def _draft_sql(formula: Formula, own: str) -> str:
+    """Per anchor: its row, the picked inputs and the value; finished after the explode."""
+    anchor, *others = formula.inputs
+    value, zero = _value_sql(formula)
+    names = ", ".join(f"'{m}'" for m in others)
+    inputs = ", ".join(f"in_{m}" for m in others)
+    return (
+        f"transform(filter({own}, r -> r.metric = '{anchor}'), a -> named_struct('formula', '{formula.metric}', 'a', a, "
+        f"'others', CAST(array({names}) AS ARRAY<STRING>), 'inputs', concat(slice(rows, 1, 0), array({inputs})), "
+        f"'value', {value}, 'zero', {zero}, 'unit', '{formula.unit}'))"
     )
-    # Three nested one-element transforms name the intermediate results (there is no LET).
-    step1 = (
-        f"transform(filter({own}, r -> r.metric = '{anchor}'), a -> named_struct("
-        f"'basis', a.basis, 'facts', {facts}, 'absent', {absent}, 'ready', a.computed, "
-        f"'value', CAST({value} AS {METRIC}), 'zero', {zero}, "
-        f"'confidence', array_min(array({', '.join(f'{u}.confidence' for u in used)}))))"
+
+
+_DONE = (
+    "transform({0}, r -> named_struct('formula', CAST(NULL AS STRING), 'a', r, 'others', CAST(array() AS ARRAY<STRING>), "
+    "'inputs', slice({0}, 1, 0), 'value', r.value, 'zero', false, 'unit', r.unit))"
+)
+
+
+def _finish_sql(draft: str, start: str = "start_date", end: str = "end_date") -> dict[str, str]:
+    """SQL of the finished fields of a draft struct."""
+    d = draft
+    absent = f"filter({d}.others, (m, i) -> get({d}.inputs, i).id IS NULL)"
+    missing = (
+        f"CASE WHEN exists({d}.inputs, x -> x.id IS NULL) THEN {absent} WHEN NOT {d}.a.computed THEN array({d}.a.metric) "
+        f"ELSE CAST(array() AS ARRAY<STRING>) END"
     )
-    step2 = (
-        f"transform({step1}, s -> named_struct('s', s, 'missing', "
-        f"CASE WHEN size(s.absent) = 0 AND NOT s.ready THEN array('{anchor}') ELSE s.absent END, 'id', {id_text}))"
+    facts = (
+        f"array_sort(flatten(filter(concat(array({d}.a.facts), transform({d}.inputs, x -> x.facts)), f -> f IS NOT NULL)))"
     )
-    complete = "size(t.missing) = 0"
-    computed = f"({complete} AND NOT t.s.zero)"
+    confidence = f"array_min(concat(array({d}.a.confidence), transform({d}.inputs, x -> x.confidence)))"
+    return {
+        "missing": missing, "facts": facts, "confidence": confidence,
+        "id_head": f"concat_ws('|', '{FORMULA_VERSION}', {d}.formula, coalesce(CAST({start} AS STRING), ''), CAST({end} AS STRING))",
+    }
+
+
+def _entry_sql(formula: Formula, own: str) -> str:
+    """A formula whose result other formulas read: finished inside the cell."""
+    fields = _finish_sql("d")
+    named = (
+        f"transform({_draft_sql(formula, own)}, d -> named_struct('d', d, 'missing', {fields['missing']}, "
+        f"'facts', {fields['facts']}, 'confidence', {fields['confidence']}, 'id_head', {fields['id_head']}))"
+    )
+    complete, computed = "size(t.missing) = 0", "(size(t.missing) = 0 AND NOT t.d.zero)"
     return (
-        f"transform({step2}, t -> named_struct("
-        f"'metric', '{formula.metric}', 'ordered', coalesce(start_date, end_date), 'id', t.id, "
-        f"'computed', {computed}, 'value', CASE WHEN {computed} THEN t.s.value END, "
-        f"'confidence', CASE WHEN {computed} THEN t.s.confidence END, 'facts', t.s.facts, 'basis', t.s.basis, "
-        f"'unit', CASE WHEN {computed} THEN '{formula.unit}' END, "
-        f"'flags', CASE WHEN NOT {complete} THEN array('missing_inputs') WHEN t.s.zero THEN array('zero_denominator') "
-        f"ELSE CAST(array() AS ARRAY<STRING>) END, "
-        f"'reason', CASE WHEN NOT {complete} THEN concat('Missing required inputs: ', array_join(t.missing, ', ')) "
-        f"WHEN t.s.zero THEN 'Formula denominator is zero' END, 'version', '{FORMULA_VERSION}'))"
+        f"transform({named}, t -> named_struct('metric', t.d.formula, 'ordered', coalesce(start_date, end_date), "
+        f"'id', sha2(concat_ws('|', t.id_head, array_join(t.facts, '|')), 256), 'computed', {computed}, "
+        f"'value', CASE WHEN {computed} THEN t.d.value END, 'confidence', CASE WHEN {computed} THEN t.confidence END, "
+        f"'facts', t.facts, 'basis', t.d.a.basis, 'unit', CASE WHEN {computed} THEN t.d.unit END, "
+        f"'flags', {_FLAGS.format(complete, 't.d.zero')}, 'reason', {_REASON.format(complete, 't.d.zero', 't.missing')}, "
+        f"'version', '{FORMULA_VERSION}'))"
     )
 
 
-def _when_absent(metric: str) -> str:
-    return f"CASE WHEN in_{metric}.id IS NULL THEN '{metric}' END"
+_FLAGS = (
+    "CASE WHEN NOT ({0}) THEN array('missing_inputs') WHEN {1} THEN array('zero_denominator') "
+    "ELSE CAST(array() AS ARRAY<STRING>) END"
+)
+_REASON = (
+    "CASE WHEN NOT ({0}) THEN concat('Missing required inputs: ', array_join({2}, ', ')) "
+    "WHEN {1} THEN 'Formula denominator is zero' END"
+)
 
 
 def formula_rounds(formulas: tuple[Formula, ...]) -> list[tuple[Formula, ...]]:
@@ -160,35 +184,52 @@ def formula_rounds(formulas: tuple[Formula, ...]) -> list[tuple[Formula, ...]]:
 
 
 def evaluate_cells(cells: DataFrame, formulas: tuple[Formula, ...]) -> DataFrame:
-    """The cells' own results followed by every formula's, in one explode."""
-    frame, earlier, outputs = cells, [], ["rows"]
+    """The cells' own results followed by every formula's.
+
+    Inside the cell a formula only picks its inputs and computes its value; ids, reasons
+    and flags are ordinary columns after one explode.  The few results that other formulas
+    read are finished inside the cell.
+    """
+    read = {m for f in formulas for m in f.inputs}
+    frame, earlier, drafts = cells, [], [_DONE.format("rows")]
     for batch in formula_rounds(formulas):
         own = f"concat({', '.join(['rows', *earlier])})"
         pool = f"concat({', '.join(['rows', 'visible', *earlier])})"
         needed = sorted({m for f in batch for m in f.inputs[1:]})
         frame = frame.withColumns({f"in_{m}": F.expr(_pick_sql(pool, m)) for m in needed})
-        made = {f"out_{f.metric}": F.expr(_formula_sql(f, own)) for f in batch}
-        frame = frame.withColumns(made)
-        outputs += list(made)
-        earlier += [f"out_{f.metric}" for f in batch if any(f.metric in g.inputs for g in formulas)]
-    flat = frame.select(*GROUP, "start_date", F.explode(F.concat(*outputs)).alias("o"))
-    return flat.select(
+        entries = {f"out_{f.metric}": F.expr(_entry_sql(f, own)) for f in batch if f.metric in read}
+        if entries:
+            frame = frame.withColumns(entries)
+        earlier += list(entries)
+        drafts += [_DONE.format(name) for name in entries]
+        drafts += [_draft_sql(f, own) for f in batch if f.metric not in read]
+    flat = frame.selectExpr(*GROUP, "start_date", f"explode(concat({', '.join(drafts)})) AS o")
+    fields = _finish_sql("o")
+    derived = F.col("o.formula").isNotNull()
+    shaped = flat.selectExpr(
+        "*", f"{fields['missing']} AS missing", f"{fields['facts']} AS facts", f"{fields['confidence']} AS confidence",
+        f"{fields['id_head']} AS id_head",
+    ).withColumn("complete", F.size("missing") == 0)
+    computed = F.when(derived, F.col("complete") & ~F.col("o.zero")).otherwise(F.col("o.a.computed"))
+    either = lambda new, old: F.when(derived, new).otherwise(F.col(f"o.a.{old}"))
+    if_computed = lambda column: F.when(F.col("complete") & ~F.col("o.zero"), column)
+    return shaped.select(
         "cik",
-        F.col("o.id").alias("metric_result_id"),
-        F.col("o.metric").alias("metric_id"),
-        F.col("o.version").alias("formula_version"),
+        either(F.sha2(F.concat_ws("|", "id_head", F.array_join("facts", "|")), 256), "id").alias("metric_result_id"),
+        F.coalesce("o.formula", "o.a.metric").alias("metric_id"),
+        either(F.lit(FORMULA_VERSION), "version").alias("formula_version"),
         F.when(F.col("start_date").isNull(), "instant").otherwise("duration").alias("period_type"),
         "start_date", "end_date",
         F.when(F.col("year_key") != NO_YEAR, F.col("year_key")).alias("fiscal_year"),
         F.when(F.col("label_key") != NO_LABEL, F.col("label_key")).alias("fiscal_period"),
-        F.col("o.basis").alias("reporting_basis"),
-        F.when(F.col("o.computed"), "computed").otherwise("not_computable").alias("status"),
-        F.col("o.value").alias("value"),
-        F.col("o.unit").alias("unit"),
-        F.col("o.facts").alias("input_fact_ids"),
-        F.col("o.flags").alias("comparability_flags"),
-        F.col("o.confidence").alias("data_confidence"),
-        F.col("o.reason").alias("not_computable_reason"),
+        F.col("o.a.basis").alias("reporting_basis"),
+        F.when(computed, "computed").otherwise("not_computable").alias("status"),
+        either(if_computed(F.col("o.value")), "value").alias("value"),
+        either(if_computed(F.col("o.unit")), "unit").alias("unit"),
+        either(F.col("facts"), "facts").alias("input_fact_ids"),
+        either(F.expr(_FLAGS.format("complete", "o.zero")), "flags").alias("comparability_flags"),
+        either(if_computed(F.col("confidence")), "confidence").alias("data_confidence"),
+        either(F.expr(_REASON.format("complete", "o.zero", "missing")), "reason").alias("not_computable_reason"),
     )
 
 

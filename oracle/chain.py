@@ -6,6 +6,11 @@ from factlode.registries import FINDING_CLASSES, FORMULAS, MAPPINGS, TESTS
 from oracle.build import cte
 
 
+def double(units: str) -> str:
+    """An integer number of 1e-15 as the nearest double (through its decimal text)."""
+    return (f"CAST(CAST(CAST({units} AS DECIMAL(23,0)) * CAST('0.000000000000001' AS DECIMAL(15,15)) AS VARCHAR) AS DOUBLE)")
+
+
 def text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
@@ -270,7 +275,7 @@ LEFT JOIN latest l ON l.cik = c.cik AND l.metric_id = t.metric_id
 
 # ------------------------------------------------------------------------- anomalies
 cte("series", """
-SELECT r.*, list(v) OVER w AS h, list(metric_result_id) OVER w AS history_ids,
+SELECT r.*, list(v) OVER w AS h,
   lag(v) OVER (PARTITION BY cik, metric_id ORDER BY end_date, coalesce(start_date, end_date), metric_result_id) AS previous
 FROM results r WHERE computed
 WINDOW w AS (PARTITION BY cik, metric_id ORDER BY end_date, coalesce(start_date, end_date), metric_result_id
@@ -283,10 +288,10 @@ cte("spread", """
 SELECT *, d[(n + 1) // 2] + d[n // 2 + 1] AS mad4
 FROM (SELECT *, list_sort(list_transform(h, lambda x: abs(2 * x - centre2))) AS d FROM centred)
 """)
-cte("anomalies", """
+cte("anomalies", f"""
 SELECT *, sha256(concat_ws('|', metric_id, metric_result_id)) AS anomaly_id,
-  CASE WHEN n >= 4 AND mad4 <> 0 THEN 0.67448975::DOUBLE * (CAST(2 * v - centre2 AS DOUBLE) * 2) / CAST(mad4 AS DOUBLE) END AS z,
-  CASE WHEN previous <> 0 THEN CAST(v - previous AS DOUBLE) / CAST(abs(previous) AS DOUBLE) END AS change,
+  CASE WHEN n >= 4 AND mad4 <> 0 THEN 0.67448975::DOUBLE * ({double('2 * v - centre2')} * 2) / {double('mad4')} END AS z,
+  CASE WHEN previous <> 0 THEN {double('v - previous')} / {double('abs(previous)')} END AS change,
   CAST(len(list_filter(h, lambda x: x <= v)) AS DOUBLE) / n AS percentile,
   CASE WHEN n < 3 THEN 'unknown'
     WHEN abs(2 * h[n - 2] - centre2) < abs(2 * h[n - 1] - centre2) AND abs(2 * h[n - 1] - centre2) < abs(2 * h[n] - centre2) THEN 'worsening'
@@ -302,11 +307,11 @@ WHERE choice = 1
 cte("strong", """
 SELECT a.cik, a.metric_id, a.anomaly_id, a.z, a.n, a.persistence, a.reporting_basis, a.change, t.test_id, t.test_result_id, t.category,
   t.evidence, t.confidence, sha256(concat_ws('|', t.test_result_id, a.anomaly_id)) AS signal_id,
-  least(abs(a.z) / 3.5::DOUBLE, 2.0::DOUBLE) * t.confidence / 2.0::DOUBLE AS score,
+  round_even((least(abs(a.z) / 3.5::DOUBLE, 2.0::DOUBLE) * t.confidence / 2.0::DOUBLE) * 1e12::DOUBLE, 0) / 1e12::DOUBLE AS score,
   CASE WHEN a.reporting_basis IN ('annual', 'quarterly') THEN abs(a.change) END AS materiality
 FROM anomalies a JOIN first_test t ON t.cik = a.cik AND t.metric_id = a.metric_id WHERE abs(a.z) >= 3.5
 """)
 cte("signals", """
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cik ORDER BY round(score, 12) DESC, signal_id) AS signal_rank FROM strong)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cik ORDER BY score DESC, signal_id) AS signal_rank FROM strong)
 WHERE signal_rank <= 10
 """)

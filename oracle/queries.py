@@ -9,14 +9,28 @@ from factlode.operators.company import LIMITATION
 from factlode.operators.peers import FILTERS_APPLIED, NO_ASSETS
 import oracle.tables  # noqa: F401  (registers the CTEs after the chain)
 from oracle.build import query
-from oracle.chain import text
+from oracle.chain import double, text
 from oracle.tables import casefold, clean_lines, tokens
 
 SQL: dict[str, str] = {}
 
 
+def rounded(sql: str) -> str:
+    """``round(x, 6)`` written as the double operations that the Spark side performs."""
+    while "round(" in sql:
+        start = sql.index("round(")
+        depth, end = 0, start + 5
+        for end in range(start + 5, len(sql)):
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            if depth == 0:
+                break
+        inner = sql[start + 6:end].rsplit(",", 1)[0]
+        sql = f"{sql[:start]}(round_even(({inner}) * 1000000::DOUBLE, 0) / 1000000::DOUBLE){sql[end + 1:]}"
+    return sql
+
+
 def add(name: str, sql: str) -> None:
-    SQL[name] = query(sql.strip())
+    SQL[name] = query(rounded(sql.strip()))
 
 
 def day(column: str, name: str | None = None) -> str:
@@ -219,11 +233,14 @@ add("e4_robust_z", "SELECT anomaly_id, round(z, 6) AS robust_z_score, CAST(n AS
 add("e5_relative_change", f"SELECT anomaly_id, {_YOY}, {_QOQ} FROM anomalies")
 add("e6_expanding_percentile", "SELECT anomaly_id, round(percentile, 6) AS rolling_percentile FROM anomalies")
 add("e7_persistence", "SELECT anomaly_id, persistence FROM anomalies")
-add("e8_history_ids", "SELECT anomaly_id, CAST(n AS BIGINT) AS sample_count, sha256(array_to_string(history_ids, '|')) AS history FROM anomalies")
 _ORDER = "ORDER BY end_date, coalesce(start_date, end_date), metric_result_id"
+add("e8_history_ids", f"""
+SELECT sha256(concat_ws('|', metric_id, metric_result_id)) AS anomaly_id, len(h) AS sample_count, sha256(array_to_string(h, '|')) AS history
+FROM (SELECT metric_id, metric_result_id, list(metric_result_id) OVER (PARTITION BY cik, metric_id {_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS h
+  FROM results WHERE computed)""")
 add("e2_by_basis", f"""
 SELECT sha256(concat_ws('|', metric_id, metric_result_id)) AS anomaly_id, {_MEDIAN}, CAST(n AS BIGINT) AS sample_count,
-  round(CASE WHEN n >= 4 AND mad4 <> 0 THEN 0.67448975::DOUBLE * (CAST(2 * v - centre2 AS DOUBLE) * 2) / CAST(mad4 AS DOUBLE) END, 6) AS robust_z_score,
+  round(CASE WHEN n >= 4 AND mad4 <> 0 THEN 0.67448975::DOUBLE * ({double('2 * v - centre2')} * 2) / {double('mad4')} END, 6) AS robust_z_score,
   CASE WHEN n < 3 THEN 'unknown'
     WHEN abs(2 * h[n - 2] - centre2) < abs(2 * h[n - 1] - centre2) AND abs(2 * h[n - 1] - centre2) < abs(2 * h[n] - centre2) THEN 'worsening'
     WHEN (2 * h[n - 2] >= centre2 AND 2 * h[n - 1] >= centre2 AND 2 * h[n] >= centre2)
@@ -270,11 +287,11 @@ SELECT cik, ticker, legal_name, true AS locally_available FROM companies WHERE c
 add("f8_resolve_identity", """
 WITH known AS (SELECT cik, ticker, legal_name FROM companies UNION ALL
     SELECT concat('9', substr(cik, 2, 9)), ticker, legal_name FROM companies WHERE cik LIKE '%5'),
-asked AS (SELECT c_custkey AS asked, CASE c_custkey % 4 WHEN 0 THEN 'cik' WHEN 1 THEN 'ticker' WHEN 2 THEN 'name' ELSE 'cik' END AS by,
+asked AS (SELECT c_custkey AS asked, CASE c_custkey % 4 WHEN 0 THEN 'cik' WHEN 1 THEN 'ticker' WHEN 2 THEN 'name' ELSE 'cik' END AS how,
     lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS k, concat('t', CAST(c_custkey AS VARCHAR)) AS t, lower(replace(c_name, 'Customer', 'Supplier')) AS n FROM customer)
 SELECT asked, CASE count(cik) WHEN 0 THEN 'not_found' WHEN 1 THEN 'resolved' ELSE 'ambiguous' END AS resolution, count(cik) AS match_count,
   CASE WHEN count(cik) = 1 THEN min(cik) END AS cik
-FROM asked LEFT JOIN known ON (by = 'cik' AND cik = k) OR (by = 'ticker' AND lower(ticker) = t) OR (by = 'name' AND lower(legal_name) = n) GROUP BY asked""".replace(
+FROM asked LEFT JOIN known ON (how = 'cik' AND cik = k) OR (how = 'ticker' AND lower(ticker) = t) OR (how = 'name' AND lower(legal_name) = n) GROUP BY asked""".replace(
     "WITH known", "SELECT * FROM (WITH known") + ")")
 
 # ------------------------------------------------------------------------------- G, H
@@ -319,7 +336,7 @@ add("i6_signals", """
 SELECT cik, signal_id, signal_rank, category, test_id, 'moderate' AS severity, round(materiality, 6) AS materiality, persistence, round(score, 6) AS score FROM signals""")
 add("i8_filing_chunks", """
 SELECT chunk_id, cik, accession_number, section, subsection, CAST(sequence AS BIGINT) AS sequence, start_offset, end_offset, sha256(body) AS text_hash, source_url FROM chunks""")
-_HIT = "SELECT query_id, cik, chunk_id, CAST(CAST(round(score, 6) AS DECIMAL(28,6)) AS VARCHAR) AS score, rank FROM hits"
+_HIT = "SELECT query_id, cik, chunk_id, CAST(CAST(score AS DECIMAL(28,6)) AS VARCHAR) AS score, rank FROM hits"
 add("i9_search", _HIT)
 add("i15_gate_status", f"""
 SELECT cik, n AS signal_count, CASE WHEN n = 0 THEN 'complete' ELSE 'partial' END AS status, CASE WHEN n = 0 THEN {text(NO_SIGNALS)} ELSE {text(NO_PROVIDER)} END AS stop_reason,

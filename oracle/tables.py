@@ -72,7 +72,7 @@ SELECT accession_number, unnest(lines) AS line, generate_subscripts(lines, 1) AS
 """)
 cte("sectioned_lines", """
 SELECT *, sum(CASE WHEN is_head THEN 1 ELSE 0 END) OVER (PARTITION BY accession_number ORDER BY n) AS piece,
-  coalesce(sum(length(line) + 1) OVER (PARTITION BY accession_number ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at
+  coalesce(sum(length(line) + 1) OVER (PARTITION BY accession_number ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line_at
 FROM placed_lines
 """)
 cte("sections", f"""
@@ -81,7 +81,7 @@ SELECT d.cik, d.accession_number, d.form, d.primary_document, d.content_sha256,
     'Item ', regexp_extract(s.head, '{_HEAD}', 2)) AS section,
   nullif(trim(regexp_extract(s.head, '{_HEAD}', 3), ' .-—'), '') AS subsection
 FROM documents_clean d JOIN (
-  SELECT accession_number, piece, min(at) AS start_at, string_agg(line, chr(10) ORDER BY n) AS body, first(line ORDER BY n) AS head
+  SELECT accession_number, piece, min(line_at) AS start_at, string_agg(line, chr(10) ORDER BY n) AS body, first(line ORDER BY n) AS head
   FROM sectioned_lines WHERE piece > 0 GROUP BY accession_number, piece) s ON s.accession_number = d.accession_number
 """)
 cte("chunks", """
