@@ -1,8 +1,7 @@
-"""Decimal types and order statistics kept exact.
+"""Decimal types and the median of a sorted array.
 
-Money is DECIMAL(20,4); metric values are DECIMAL(35,15).  Medians are carried doubled
-(the sum of the two middle values), so that ties are decided on exact decimals; only
-ratios of statistics become doubles.
+Money is DECIMAL(20,4); metric values are DECIMAL(35,15); statistics over series are doubles.
+Medians are carried doubled, as the sum of the two middle values.
 """
 
 from __future__ import annotations
@@ -20,8 +19,3 @@ def middle_sum(sorted_values: Column, size: Column) -> Column:
     low = F.element_at(sorted_values, F.floor((size + 1) / 2).cast("int"))
     high = F.element_at(sorted_values, F.floor(size / 2).cast("int") + 1)
     return low + high
-
-
-def half(value: Column, scale: int) -> Column:
-    """Half of a doubled statistic, exact at one more decimal place."""
-    return (value * F.lit(0.5).cast("decimal(2,1)")).cast(f"decimal(38,{scale})")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factlode.functions import ids
-from factlode.functions.numbers import half, middle_sum
+from factlode.functions.numbers import middle_sum
 from factlode.functions.periods import ANNUAL, QUARTERLY, order_date
 from factlode.functions.relations import string_array
 from factlode.registries import TEST_VERSION, TESTS, Diagnostic
@@ -125,29 +125,29 @@ def _series_statistics(
     prefix = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
     windowed = {
-        "history": F.collect_list("value").over(prefix),
-        "previous": F.last("value", ignorenulls=True).over(before),
+        "history": F.collect_list("x").over(prefix),
+        "previous": F.last("x", ignorenulls=True).over(before),
     }
     if history_ids:
         windowed["input_metric_result_ids"] = F.collect_list("metric_result_id").over(prefix)
-    framed = series.withColumns(windowed).where(F.col("value").isNotNull()).withColumns({
+    framed = series.withColumn("x", F.col("value").cast("double")).withColumns(windowed).where(F.col("value").isNotNull()).withColumns({
         "sample_count": F.size("history"), "ascending": F.sort_array("history"),
     })
-    # doubled centre, then four times the MAD: exact decimals throughout.  The deviations of
-    # an ascending array fall and then rise, which the sort merges in linear time.
+    # doubled centre, then four times the MAD.  The deviations of an ascending array fall and
+    # then rise, which the sort merges in linear time.
     centred = framed.withColumn("centre2", middle_sum(F.col("ascending"), F.col("sample_count")))
     deviations = F.transform("ascending", lambda x: F.abs(x + x - F.col("centre2")))
     spread = centred.withColumn("mad4", middle_sum(F.sort_array(deviations), F.col("sample_count")))
-    offset = (F.col("value") + F.col("value") - F.col("centre2")).cast("double")
+    offset = F.col("x") + F.col("x") - F.col("centre2")
     robust_z = F.when(
         (F.col("sample_count") >= MIN_ROBUST_SAMPLE) & (F.col("mad4") != 0),
-        F.lit(ROBUST_Z_SCALE) * (offset * 2) / F.col("mad4").cast("double"),
+        F.lit(ROBUST_Z_SCALE) * (offset * 2) / F.col("mad4"),
     )
     change = F.when(
         F.col("previous") != 0,
-        (F.col("value") - F.col("previous")).cast("double") / F.abs("previous").cast("double"),
+        (F.col("x") - F.col("previous")) / F.abs("previous"),
     )
-    below = F.size(F.filter("history", lambda x: x <= F.col("value")))
+    below = F.size(F.filter("history", lambda x: x <= F.col("x")))
     measured = spread.withColumns({
         "robust_z_score": robust_z,
         "change": change,
@@ -166,8 +166,8 @@ def _series_statistics(
         F.col("value").alias("current_value"),
         F.when(F.col("reporting_basis") == ANNUAL, F.col("change")).alias("year_over_year_change"),
         F.when(F.col("reporting_basis") == QUARTERLY, F.col("change")).alias("quarter_over_quarter_change"),
-        half(F.col("centre2"), 16).alias("historical_median"),
-        half(half(F.col("mad4"), 16), 17).alias("median_absolute_deviation"),
+        (F.col("centre2") / 2).alias("historical_median"),
+        (F.col("mad4") / 4).alias("median_absolute_deviation"),
         "robust_z_score", "rolling_percentile", "sample_count", "persistence",
         *(["input_metric_result_ids"] if history_ids else []),
         explanation.alias("explanation"), *keep,
@@ -175,14 +175,19 @@ def _series_statistics(
 
 
 def _persistence() -> Column:
-    """Shape of the last three values around the current centre."""
+    """Shape of the last three values around the current centre.
+
+    Distances that agree to twelve digits count as equal: the two middle values of an even
+    sample are equally far from their mean, whatever its last bit.
+    """
+    slack = F.lit(1e-12) * F.abs("centre2")
     last = F.slice("history", -3, 3)
     distance = [F.abs(_twice(last, i) - F.col("centre2")) for i in (0, 1, 2)]
     above = [_twice(last, i) >= F.col("centre2") for i in (0, 1, 2)]
     under = [_twice(last, i) <= F.col("centre2") for i in (0, 1, 2)]
     return (
         F.when(F.col("sample_count") < 3, "unknown")
-        .when((distance[0] < distance[1]) & (distance[1] < distance[2]), "worsening")
+        .when((distance[1] - distance[0] > slack) & (distance[2] - distance[1] > slack), "worsening")
         .when((above[0] & above[1] & above[2]) | (under[0] & under[1] & under[2]), "recurring")
         .otherwise("one_off")
     )

@@ -274,30 +274,38 @@ LEFT JOIN latest l ON l.cik = c.cik AND l.metric_id = t.metric_id
 """)
 
 # ------------------------------------------------------------------------- anomalies
+cte("valued", f"SELECT *, {double('v')} AS x FROM results WHERE computed")
 cte("series", """
-SELECT r.*, list(v) OVER w AS h,
-  lag(v) OVER (PARTITION BY cik, metric_id ORDER BY end_date, coalesce(start_date, end_date), metric_result_id) AS previous
-FROM results r WHERE computed
+SELECT r.*, list(x) OVER w AS h,
+  lag(x) OVER (PARTITION BY cik, metric_id ORDER BY end_date, coalesce(start_date, end_date), metric_result_id) AS previous
+FROM valued r
 WINDOW w AS (PARTITION BY cik, metric_id ORDER BY end_date, coalesce(start_date, end_date), metric_result_id
   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
 """)
-cte("centred", """
-SELECT *, len(h) AS n, list_sort(h)[(len(h) + 1) // 2] + list_sort(h)[len(h) // 2 + 1] AS centre2 FROM series
-""")
-cte("spread", """
+
+
+def spread(source: str) -> str:
+    """Doubled centre and four times the MAD of each row's prefix."""
+    return f"""
 SELECT *, d[(n + 1) // 2] + d[n // 2 + 1] AS mad4
-FROM (SELECT *, list_sort(list_transform(h, lambda x: abs(2 * x - centre2))) AS d FROM centred)
-""")
+FROM (SELECT *, list_sort(list_transform(h, lambda y: abs(y + y - centre2))) AS d
+  FROM (SELECT *, len(h) AS n, list_sort(h)[(len(h) + 1) // 2] + list_sort(h)[len(h) // 2 + 1] AS centre2 FROM {source}))
+"""
+
+
+Z = "CASE WHEN n >= 4 AND mad4 <> 0 THEN 0.67448975::DOUBLE * ((x + x - centre2) * 2) / mad4 END"
+_D = [f"abs(h[n - {k}] + h[n - {k}] - centre2)" for k in (2, 1, 0)]
+_ABOVE = " AND ".join(f"h[n - {k}] + h[n - {k}] >= centre2" for k in (2, 1, 0))
+_UNDER = " AND ".join(f"h[n - {k}] + h[n - {k}] <= centre2" for k in (2, 1, 0))
+PERSISTENCE = f"""CASE WHEN n < 3 THEN 'unknown'
+    WHEN {_D[1]} - {_D[0]} > 1e-12::DOUBLE * abs(centre2) AND {_D[2]} - {_D[1]} > 1e-12::DOUBLE * abs(centre2) THEN 'worsening'
+    WHEN ({_ABOVE}) OR ({_UNDER}) THEN 'recurring' ELSE 'one_off' END"""
+
+cte("spread", spread("series"))
 cte("anomalies", f"""
-SELECT *, sha256(concat_ws('|', metric_id, metric_result_id)) AS anomaly_id,
-  CASE WHEN n >= 4 AND mad4 <> 0 THEN 0.67448975::DOUBLE * ({double('2 * v - centre2')} * 2) / {double('mad4')} END AS z,
-  CASE WHEN previous <> 0 THEN {double('v - previous')} / {double('abs(previous)')} END AS change,
-  CAST(len(list_filter(h, lambda x: x <= v)) AS DOUBLE) / n AS percentile,
-  CASE WHEN n < 3 THEN 'unknown'
-    WHEN abs(2 * h[n - 2] - centre2) < abs(2 * h[n - 1] - centre2) AND abs(2 * h[n - 1] - centre2) < abs(2 * h[n] - centre2) THEN 'worsening'
-    WHEN (2 * h[n - 2] >= centre2 AND 2 * h[n - 1] >= centre2 AND 2 * h[n] >= centre2)
-      OR (2 * h[n - 2] <= centre2 AND 2 * h[n - 1] <= centre2 AND 2 * h[n] <= centre2) THEN 'recurring'
-    ELSE 'one_off' END AS persistence
+SELECT *, sha256(concat_ws('|', metric_id, metric_result_id)) AS anomaly_id, {Z} AS z,
+  CASE WHEN previous <> 0 THEN (x - previous) / abs(previous) END AS change,
+  CAST(len(list_filter(h, lambda y: y <= x)) AS DOUBLE) / n AS percentile, {PERSISTENCE} AS persistence
 FROM spread
 """)
 cte("first_test", """

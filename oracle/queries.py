@@ -9,7 +9,7 @@ from factlode.operators.company import LIMITATION
 from factlode.operators.peers import FILTERS_APPLIED, NO_ASSETS
 import oracle.tables  # noqa: F401  (registers the CTEs after the chain)
 from oracle.build import query
-from oracle.chain import double, text
+from oracle.chain import PERSISTENCE, Z, spread, text
 from oracle.tables import casefold, clean_lines, tokens
 
 SQL: dict[str, str] = {}
@@ -223,8 +223,8 @@ add("e1_choose_fact", _CHOSEN)
 add("e1_prefer_amendments", f"""
 SELECT cik, canonical_metric, {day('end_date')}, fact_id, form FROM (SELECT *, row_number() OVER (PARTITION BY cik, canonical_metric, unit, start_date, end_date,
     fiscal_year, fiscal_period, reporting_basis ORDER BY CASE WHEN form LIKE '%/A' THEN 0 ELSE 1 END, filed DESC, accession_number, fact_id) AS c FROM accepted) WHERE c = 1""")
-_MEDIAN = fixed("centre2", f"(2 * {ONE})", "historical_median")
-_MAD = fixed("mad4", f"(4 * {ONE})", "median_absolute_deviation")
+_MEDIAN = "round(centre2 / 2, 6) AS historical_median"
+_MAD = "round(mad4 / 4, 6) AS median_absolute_deviation"
 _YOY = "CASE WHEN reporting_basis = 'annual' THEN round(change, 6) END AS year_over_year_change"
 _QOQ = "CASE WHEN reporting_basis = 'quarterly' THEN round(change, 6) END AS quarter_over_quarter_change"
 add("e2_expanding_median", f"SELECT anomaly_id, {_MEDIAN} FROM anomalies")
@@ -238,17 +238,11 @@ add("e8_history_ids", f"""
 SELECT sha256(concat_ws('|', metric_id, metric_result_id)) AS anomaly_id, len(h) AS sample_count, sha256(array_to_string(h, '|')) AS history
 FROM (SELECT metric_id, metric_result_id, list(metric_result_id) OVER (PARTITION BY cik, metric_id {_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS h
   FROM results WHERE computed)""")
+_BY_BASIS = spread(f"""(SELECT *, list(x) OVER (PARTITION BY cik, metric_id, reporting_basis {_ORDER}
+  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS h FROM valued)""")
 add("e2_by_basis", f"""
 SELECT sha256(concat_ws('|', metric_id, metric_result_id)) AS anomaly_id, {_MEDIAN}, CAST(n AS BIGINT) AS sample_count,
-  round(CASE WHEN n >= 4 AND mad4 <> 0 THEN 0.67448975::DOUBLE * ({double('2 * v - centre2')} * 2) / {double('mad4')} END, 6) AS robust_z_score,
-  CASE WHEN n < 3 THEN 'unknown'
-    WHEN abs(2 * h[n - 2] - centre2) < abs(2 * h[n - 1] - centre2) AND abs(2 * h[n - 1] - centre2) < abs(2 * h[n] - centre2) THEN 'worsening'
-    WHEN (2 * h[n - 2] >= centre2 AND 2 * h[n - 1] >= centre2 AND 2 * h[n] >= centre2)
-      OR (2 * h[n - 2] <= centre2 AND 2 * h[n - 1] <= centre2 AND 2 * h[n] <= centre2) THEN 'recurring' ELSE 'one_off' END AS persistence
-FROM (SELECT *, d[(n + 1) // 2] + d[n // 2 + 1] AS mad4 FROM (SELECT *, list_sort(list_transform(h, lambda x: abs(2 * x - centre2))) AS d
-  FROM (SELECT *, len(h) AS n, list_sort(h)[(len(h) + 1) // 2] + list_sort(h)[len(h) // 2 + 1] AS centre2
-    FROM (SELECT *, list(v) OVER (PARTITION BY cik, metric_id, reporting_basis {_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS h
-      FROM results WHERE computed))))""")
+  round({Z}, 6) AS robust_z_score, {PERSISTENCE} AS persistence FROM ({_BY_BASIS})""")
 add("e9_latest_results", f"SELECT cik, metric_id, {day('end_date')}, metric_result_id FROM latest")
 _RECENT = """row_number() OVER (PARTITION BY cik, canonical_metric ORDER BY end_date DESC, coalesce(start_date, end_date) DESC, accession_number DESC,
     normalized_fact_id DESC) AS recency"""
