@@ -110,7 +110,7 @@ def fit_languages(rows: DataFrame, dimensions: int = 1024, seed: int = 7, most_l
                 totals[lang] = totals.get(lang, 0) + vectors.bundle(each, counts)
         if totals:
             yield pa.RecordBatch.from_pydict({
-                "lang": [lang for lang in totals for _ in range(dimensions)], "place": list(range(dimensions)) * len(totals),
+                "lang": [lang for lang in totals for _ in range(dimensions)], "place": pa.array(list(range(dimensions)) * len(totals), pa.int32()),
                 "value": np.rint(np.concatenate(list(totals.values()))).astype(np.int64),
             })
 
@@ -166,7 +166,7 @@ def identify_languages(docs: DataFrame, held_out: int = 0, modulus: int = 5, id_
     return predicted.select("doc_id", (remainder(F.col("doc_id"), modulus) == held_out).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.1) -> DataFrame:
+def keep_identified(docs: DataFrame, least: float = 0.0) -> DataFrame:
     """The rows of `docs` (doc_id, text, lang, ...) whose language can be told: not `und`, and a cosine of `least` or more with it.
 
     Fits on all rows that have a language. All columns stay; null ids and repeated rows are judged by their text alone.

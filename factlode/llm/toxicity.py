@@ -25,17 +25,18 @@ PREFIXES = (4, 5, 6)
 
 @dataclass(frozen=True)
 class Settings:
-    """bits: 2**bits hashed features. shards: classifiers, each trained on its own share of the sample and then averaged. positives and
-    unlabelled: bounds of the sample each classifier is trained on, documents drawn by a hash of their id and text."""
-
-    bits: int = 18
-    shards: int = 6
-    positives: int = 1_500
-    unlabelled: int = 3_000
-    epochs: int = 40
-    batch: int = 128
-    rate: float = 0.05
-    decay: float = 2e-5
+    """bits: 2**bits hashed features. shards: classifiers, each trained on its own draw and then averaged. positives, unlabelled: expected
+    size of a draw where there are more, by a hash of the id. least_z: how many standard errors more often positives must have a feature
+    than unlabelled texts for it to be used."""
+
+    bits: int = 20
+    shards: int = 4
+    positives: int = 4_000
+    unlabelled: int = 8_000
+    least_z: float = 5.0
+    steps: int = 400
+    rate: float = 0.1
+    decay: float = 1e-4
     seed: int = 11
 
 
@@ -67,50 +68,42 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, s: Settings, seed: int) -> tuple[np.ndarray, float]:
-    """Weights and bias of a linear classifier of hashed features. A feature's weight counts by its rarity among the unlabelled texts, so
-    that words everyone uses say little, however long the text is."""
+def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, s: Settings) -> tuple[np.ndarray, float]:
+    """Weights and bias of a linear classifier over the features that positives have significantly more often; the others weigh nothing,
+    so the length of a text doesn't matter. Full-batch steps with adaptive rates."""
     size = 1 << s.bits
-    seen = np.bincount(np.concatenate(unlabelled), minlength=size) if unlabelled else np.zeros(size)
-    scale = np.log((1 + len(unlabelled)) / (1 + seen)) / np.log(2 + len(unlabelled))
-    scale = np.maximum(scale, 0.0).astype(np.float64) ** 2
-    weights, bias = np.zeros(size), np.log(prior / (1 - prior))
-    squares, bias_square = np.full(size, 1e-8), 1e-8
-    rng = np.random.default_rng(seed)
-
-    def margins(texts):
-        return np.array([weights[t] @ scale[t] for t in texts]) + bias
-
-    def gradient(texts, slopes):
-        """Sum over texts of slope times scaled features, as (features, values)."""
-        at = np.concatenate(texts)
-        return at, np.repeat(slopes, [len(t) for t in texts]) * scale[at]
-
-    n_batches = max(1, len(unlabelled) // s.batch)
-    share = max(1, len(positive) // n_batches)
-    for _ in range(s.epochs):
-        p_order, u_order = rng.permutation(len(positive)), rng.permutation(len(unlabelled))
-        for b in range(n_batches):
-            p = [positive[i] for i in np.resize(p_order, n_batches * share)[b * share : (b + 1) * share]]
-            u = [unlabelled[i] for i in u_order[b * s.batch : (b + 1) * s.batch]]
-            mp, mu = margins(p), margins(u)
-            negative = np.logaddexp(0, mu).mean() - prior * np.logaddexp(0, mp).mean()
-            up, uu = prior * _sigmoid(mp) / len(p), _sigmoid(mu) / len(u)  # slopes of the two halves of the negative risk
-            if negative >= 0:
-                p_slopes, u_slopes = -prior * _sigmoid(-mp) / len(p) - up, uu
-            else:
-                p_slopes, u_slopes = up, -uu
-            parts = [gradient(p, p_slopes), gradient(u, u_slopes)]
-            at, value = np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
-            slope = np.bincount(at, weights=value, minlength=size)
-            touched = np.flatnonzero(slope)
-            change = slope[touched] + s.decay * weights[touched]
-            squares[touched] += change**2
-            weights[touched] -= s.rate * change / np.sqrt(squares[touched])
-            step = p_slopes.sum() + u_slopes.sum()
-            bias_square += step**2
-            bias -= s.rate * step / np.sqrt(bias_square)
-    return weights * scale, float(bias)
+    rates = [(np.bincount(np.concatenate(t), minlength=size) + 0.5) / (len(t) + 1) for t in (positive, unlabelled)]
+    error = np.sqrt(sum(r * (1 - r) / len(t) for r, t in zip(rates, (positive, unlabelled))))
+    used = np.flatnonzero((rates[0] - rates[1] > s.least_z * error) & (rates[0] > 2 * rates[1]))
+    column = np.full(size, -1, dtype=np.int64)
+    column[used] = np.arange(len(used))
+
+    def cells(texts):
+        """(row, column) of the used features."""
+        row, at = np.repeat(np.arange(len(texts)), [len(t) for t in texts]), column[np.concatenate(texts)]
+        return row[at >= 0], at[at >= 0]
+
+    n_p, n_u = len(positive), len(unlabelled)
+    (p_row, p_col), (u_row, u_col) = cells(positive), cells(unlabelled)
+    weights, bias = np.zeros(len(used) + 1), np.log(prior / (1 - prior))  # the last weight is the change of the bias
+    first, second = np.zeros_like(weights), np.zeros_like(weights)
+    for step in range(1, s.steps + 1):
+        mp = np.bincount(p_row, weights[p_col], n_p) + bias + weights[-1]
+        mu = np.bincount(u_row, weights[u_col], n_u) + bias + weights[-1]
+        negative = np.logaddexp(0, mu).mean() - prior * np.logaddexp(0, mp).mean()
+        p_part, u_part = prior * _sigmoid(mp) / n_p, _sigmoid(mu) / n_u  # slopes of the two halves of the negative risk
+        if negative >= 0:
+            p_slope, u_slope = -prior * _sigmoid(-mp) / n_p - p_part, u_part
+        else:
+            p_slope, u_slope = p_part, -u_part
+        slope = np.zeros_like(weights)
+        slope[:-1] = np.bincount(p_col, p_slope[p_row], len(used)) + np.bincount(u_col, u_slope[u_row], len(used)) + s.decay * weights[:-1]
+        slope[-1] = p_slope.sum() + u_slope.sum()
+        first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
+        weights -= s.rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+    all_weights = np.zeros(size)
+    all_weights[used] = weights[:-1]
+    return all_weights, float(bias + weights[-1])
 
 
 @dataclass(frozen=True)
@@ -123,11 +116,12 @@ class ToxicityModel:
 
 
 def _draw(ids: DataFrame, bound: int, settings: Settings, kind: str) -> DataFrame:
-    """Ids by a hash against a rate, so that about shards * bound are expected however many there are: nothing is sorted for it."""
-    rate = min(1.0, settings.shards * bound / max(1, ids.count()))
-    draw = F.xxhash64("doc_id", F.lit(kind), F.lit(settings.seed))
-    drawn = ids.withColumn("draw", draw).where(F.shiftrightunsigned("draw", 11).cast("double") / float(1 << 53) < rate)
-    return drawn.select("doc_id", F.lit(kind == "positive").alias("positive"), "draw", F.pmod("draw", F.lit(settings.shards)).cast("int").alias("shard"))
+    """For each shard, ids whose hash lies below a rate: `bound` are expected however many there are, and nothing is sorted for it."""
+    rate = min(1.0, bound / max(1, ids.count()))
+    each = ids.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(settings.shards - 1))))
+    draw = F.xxhash64("doc_id", "shard", F.lit(kind), F.lit(settings.seed))
+    drawn = each.withColumn("draw", draw).where(F.shiftrightunsigned("draw", 11).cast("double") / float(1 << 53) < rate)
+    return drawn.select("doc_id", F.lit(kind == "positive").alias("positive"), "draw", "shard")
 
 
 def fit_toxicity(rows: DataFrame, labels: DataFrame, prior: float | None = None, settings: Settings = Settings()) -> ToxicityModel:
@@ -156,7 +150,7 @@ def fit_toxicity(rows: DataFrame, labels: DataFrame, prior: float | None = None,
         texts = {kind: [np.frombuffer(b, dtype=np.int32) for b in group.features[group.positive == kind]] for kind in (True, False)}
         if not texts[True] or not texts[False]:
             return pd.DataFrame({"shard": [], "weights": [], "bias": []})
-        weights, bias = fit_nnpu(texts[True], texts[False], prior, settings, settings.seed + int(key[0]))
+        weights, bias = fit_nnpu(texts[True], texts[False], prior, settings)
         return pd.DataFrame({"shard": [int(key[0])], "weights": [weights.astype(np.float32).tobytes()], "bias": [bias]})
 
     drawn = _draw(ids.join(labels.where("toxic = 1"), "doc_id", "left_semi"), settings.positives, settings, "positive")
