@@ -195,3 +195,41 @@ class SegmentEncoder:
             return counts.tolist()
         whole, ends = flat.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
         return [whole[a:b] for a, b in zip([0, *ends], ends)]
+
+
+class TextEncoder:
+    """Token ids of whole texts as bytes (unsigned 32 bits, little-endian), by a compiled byte-pair encoder over the same vocabulary.
+
+    The encoder takes ids for ranks, which holds for files whose ids follow their merges; others are refused. Texts that it might split
+    differently (letters of which the libraries know different versions, very long blanks) go through SegmentEncoder.
+    """
+
+    BLANKS = regex.compile(r"\s{5000}")
+
+    def __init__(self, path: str):
+        import tiktoken
+
+        self.path, self.careful = path, None
+        merger = RankMerger(path)
+        if (np.diff(merger.merged) <= 0).any() or merger.byte_ids.max() >= merger.merged[0]:
+            raise ValueError(f"the ids of {path} don't follow its merges")
+        with open(path, encoding="utf-8") as file:
+            vocabulary = json.load(file)["model"]["vocab"]
+        byte_of = {c: b for b, c in enumerate(byte_symbols())}
+        ranks = {bytes(map(byte_of.__getitem__, token)): number for token, number in vocabulary.items() if token not in merger.special}
+        self.encoding = tiktoken.Encoding("bytes", pat_str=PRETOKEN.pattern, mergeable_ranks=ranks, special_tokens=merger.special)
+        self.specials = set(merger.special)
+
+    def encode(self, texts: Sequence[str | None]) -> list[bytes]:
+        out = []
+        for text in texts:
+            if not text:
+                out.append(b"")
+            elif not text.isascii() and UNSETTLED.search(text) or len(text) > 10_000 and self.BLANKS.search(text):
+                self.careful = self.careful or SegmentEncoder(self.path, ids=True)
+                out.append(self.careful.encode([text])[0])
+            else:
+                special = "<" in text and any(s in text for s in self.specials)
+                ids = self.encoding.encode(text, allowed_special="all") if special else self.encoding.encode_ordinary(text)
+                out.append(np.array(ids, dtype="<u4").tobytes())
+        return out

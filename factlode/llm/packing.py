@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from factlode.llm.bpe import SegmentEncoder
+from factlode.llm.bpe import TextEncoder
 from factlode.llm.rows import slices, text_rows
 
 END_OF_TEXT = b"\0\0\0\0"
@@ -92,7 +92,7 @@ def pack_documents(docs: DataFrame, path: str, window: int = 1024, keep_ids: boo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        encoder, packer, arrow = SegmentEncoder(path, ids=True), LevelPacker(window), to_arrow_schema(target)
+        encoder, packer, arrow = TextEncoder(path), LevelPacker(window), to_arrow_schema(target)
         columns: list[list] = [[] for _ in arrow]
         sequence = TaskContext.get().partitionId() << 33
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factlode.llm import decontaminate, jaccard, language_id, packing, pii, quality, rows, secret_scan, token_counts, toxicity
+from factlode.llm import decontaminate, jaccard, language_id, packing, pii, quality, rows, secret_scan, token_counts, token_store, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.materialize_training_order(table(spark, sf_dir, "documents"), rows.tokenizer_path(), length=512, per_shard=16384)
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_jaccard_join": op4_jaccard_join,
     "op5_language_id": op5_language_id,
     "op6_quality_rules": op6_quality_rules,
+    "op7_training_order": op7_training_order,
     "op8_decontamination": op8_decontamination,
     "op9_token_counts": op9_token_counts,
     "op10_secret_scan": op10_secret_scan,
