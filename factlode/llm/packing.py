@@ -32,10 +32,10 @@ class LevelPacker:
     def place(self, piece: tuple, size: int) -> list | None:
         """The window that this piece fills up, if it does."""
         count, last = self.level, self.window - size
-        # moving a window from level h to h + size changes the sum of squares by 2 * (count[h + size] - count[h] + 1)
-        gain = count[size : self.window + 1] - count[: last + 1] + 1
-        gain[0] = count[size]  # a new window leaves no level
-        gain[last] = (0 if last == 0 else -count[last]) if last else gain[0]
+        # how the sum of squares changes if a window moves from level h to h + size
+        gain = 2 * (count[size : self.window + 1] - count[: last + 1] + 1)
+        gain[0] = 2 * count[size] + 1  # a new window leaves no level
+        gain[last] = 1 - 2 * count[last] if last else 0  # a full one reaches none
         usable = count[: last + 1] > 0
         usable[0] = True
         level = last - int(np.argmin(np.where(usable, gain, np.iinfo(np.int64).max)[::-1]))
