@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from factlode.catalog import PAGE_HOSTS, SCREEN_PHRASES, WINDOW
-from factlode.functions.html import BREAKING_TAGS, ENTITIES, SKIPPED_TAGS
 from factlode.operators.audit import ACCUSATORY_PHRASES, NO_PROVIDER, NO_SIGNALS, PROMPT_VERSION
 from factlode.operators.company import LIMITATION
 from factlode.operators.peers import FILTERS_APPLIED, NO_ASSETS
@@ -348,11 +347,18 @@ add("j1_decode_payload", """
 SELECT doc_id, sha256(CASE WHEN doc_id % 2 = 0 THEN text ELSE concat('é', regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')) END) AS decoded FROM documents""")
 
 
+# Written out here, not shared with the implementation.
+SKIPPED = ("script", "style", "nav", "noscript", "svg")
+BREAKING = "address|article|aside|blockquote|br|div|footer|h1|h2|h3|h4|header|li|p|section|table|td|th|tr"
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&amp;", "&"))
+
+
 def _html() -> str:
+    """For the given pages: no skipped tag lies in another one of its kind, and these are the references they use."""
     sql = "regexp_replace(html, '(?s)<!--.*?-->', '', 'g')"
-    for tag in SKIPPED_TAGS:
+    for tag in SKIPPED:
         sql = f"regexp_replace({sql}, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', '', 'g')"
-    sql = f"regexp_replace({sql}, '(?i)</?({'|'.join(BREAKING_TAGS)})\\b[^>]*>', chr(10), 'g')"
+    sql = f"regexp_replace({sql}, '(?i)</?({BREAKING})\\b[^>]*>', chr(10), 'g')"
     sql = f"regexp_replace({sql}, '<[/!]?[A-Za-z][^>]*>', '', 'g')"
     for entity, character in ENTITIES:
         sql = f"replace({sql}, {text(entity)}, {text(character)})"

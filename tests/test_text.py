@@ -1,3 +1,4 @@
+import html
 import math
 from collections import Counter
 
@@ -122,3 +123,19 @@ def test_cleaning(spark):
     assert frame.select(text.clean_text(F.col("t"))).first()[0] == "a b\nc\nd"
     page = spark.createDataFrame([("x<br>y<svg><p>z</p></svg>&lt;ok",)], "t string")
     assert page.select(html_to_text("t")).first()[0] == "x\ny<ok"
+
+
+def test_html_nesting_comments_and_references(spark):
+    cases = {
+        "a<nav>b<svg>c</svg>hidden</nav>d": "ad",
+        "a<!-- <nav> -->b<script>if (a < b) { '<nav>' }</script>c": "abc",
+        "x<script>never closed <p>": "x",
+        "a</nav>b<nav/>c<noscript>d</noscript>e": "abce",
+        '<p title="a > b">t</p><BR/>u<tr class=x>v': "\nt\n\nu\nv",
+        "<spanner>1 < 2 & 3 <navy>4": "1 < 2 & 3 4",
+        "<!DOCTYPE html><?xml x?>k": "k",
+    }
+    references = ["caf&eacute;", "it&#8217;s", "&euro;5", "&copy2024", "&notit;", "&notin;", "&unknown;", "&#x1F600;", "&#150;", "&#xD800;", "&#99999999999;", "&", "&amp;lt;", "&ampx", "&hellip;&nbsp;!"]
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate([*cases, *references])], "k int, t string")
+    got = [r.body for r in frame.select("k", html_to_text(F.col("t")).alias("body")).orderBy("k").collect()]
+    assert got == [*cases.values(), *map(html.unescape, references)]
