@@ -865,7 +865,7 @@ def _(i: Inputs) -> DataFrame:
 
 @query("j6_query_terms")
 def _(i: Inputs) -> DataFrame:
-    return i.queries.select("query_id", text.query_terms(F.col("query")).alias("terms"))
+    return i.queries.select("query_id", text.query_terms(F.col("query"), 24).alias("terms"))
 
 
 @query("j7_document_tokens")

@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SEPARATOR = "|"
-DIGEST_HEX = 15
 
 
 def text_or_empty(column: Column) -> Column:
@@ -28,38 +27,20 @@ def fact_id(
 
 
 def id_digest(identifier: Column) -> Column:
-    """Order-free digest of a set of hex ids: sum of their leading 60 bits.
+    """Order-free digest of a set of hex ids: the sums of their four 64-bit parts.
 
     A sum merges map-side, so a group of any size is identified without collecting it.
     """
-    head = F.conv(F.substring(identifier, 1, DIGEST_HEX), 16, 10).cast("decimal(20,0)")
-    return F.sum(head).cast("decimal(38,0)")
+    part = lambda k: F.conv(F.substring(identifier, 16 * k + 1, 16), 16, 10).cast("decimal(20,0)")
+    return F.concat_ws(":", *[F.sum(part(k)).cast("decimal(38,0)").cast("string") for k in range(4)])
 
 
 def id_set_text(count: Column, low: Column, high: Column, digest: Column) -> Column:
-    """Text naming an id set: the sorted ids for up to two, bounds and digest beyond."""
-    return (
-        F.when(count == 0, F.lit(""))
-        .when(count == 1, low)
-        .when(count == 2, F.concat_ws(SEPARATOR, low, high))
-        .otherwise(
-            F.concat_ws(SEPARATOR, low, high, count.cast("string"), digest.cast("string"))
-        )
-    )
+    """Text naming an id set of any size: its bounds, its size and its digest."""
+    return F.concat_ws(SEPARATOR, low, high, count.cast("string"), digest)
 
 
 def normalize_cik(value: Column) -> Column:
     """Ten-digit CIK text, or null where the input is not a CIK."""
     bare = F.regexp_replace(F.trim(value.cast("string")), "^(?i)CIK", "")
     return F.when(bare.rlike("^[0-9]{1,10}$"), F.lpad(bare, 10, "0"))
-
-
-def row_digest(*columns: Column) -> Column:
-    """Hash of a whole row, null-safe and position-safe."""
-    marked = [
-        F.when(c.isNull(), F.lit("n")).otherwise(
-            F.concat(F.lit("v"), F.length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string"))
-        )
-        for c in columns
-    ]
-    return F.sha2(F.concat(*marked), 256)

@@ -11,7 +11,6 @@ PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 
 QUERY_TERM = "[A-Za-z0-9][A-Za-z0-9_-]+"
 DOCUMENT_TOKEN = "[\\p{L}\\p{N}]+"
-MAX_QUERY_TERMS = 24
 
 # Line breaks recognised when text is split into lines, and white space trimmed from lines.
 LINE_BREAK = "\\r\\n|[\\n\\r\\x0B\\x0C\\x1C-\\x1E\\x85\\u2028\\u2029]"
@@ -27,9 +26,10 @@ def fold_accents(text: Column) -> Column:
     return F.translate(F.lower(text), ACCENTED, PLAIN)
 
 
-def query_terms(query: Column, limit: int = MAX_QUERY_TERMS) -> Column:
-    """Distinct lower-cased terms in order of appearance, at most ``limit``."""
-    return F.slice(F.array_distinct(F.regexp_extract_all(casefold(query), F.lit(QUERY_TERM), 0)), 1, limit)
+def query_terms(query: Column, limit: int | None = None) -> Column:
+    """Distinct lower-cased terms in order of appearance; the first ``limit`` of them if it is given."""
+    terms = F.array_distinct(F.regexp_extract_all(casefold(query), F.lit(QUERY_TERM), 0))
+    return terms if limit is None else F.slice(terms, 1, limit)
 
 
 def document_tokens(text: Column) -> Column:

@@ -86,7 +86,7 @@ def audit_manifest(lineage: DataFrame, key: str = "cik") -> DataFrame:
     return hashed.groupBy(key, "kind").agg(
         F.count(F.lit(1)).alias("reference_count"),
         F.min("reference_id").alias("first_reference"), F.max("reference_id").alias("last_reference"),
-        ids.id_digest(F.col("h")).cast("string").alias("reference_digest"),
+        ids.id_digest(F.col("h")).alias("reference_digest"),
     )
 
 
@@ -136,16 +136,22 @@ def repair_references(claims: DataFrame, allowed: DataFrame, key: str = "run_id"
 
 
 def claim_violations(claims: DataFrame, allowed: DataFrame, key: str = "run_id") -> DataFrame:
-    """Unknown references, one anti-join for all four kinds, and cases without any signal."""
+    """Unknown references (one anti-join for all four kinds), roles of a run that address no signal, also for want of any claim, and
+    claims under a role that a run doesn't have."""
     unknown = _references(claims, key).join(allowed, [key, "kind", "reference_id"], "left_anti")
     code = F.coalesce(*[F.when(F.col("kind") == k, F.lit(c)) for k, c in REFERENCE_CODES.items()])
     bad = unknown.select(key, "role", "claim_id", code.alias("code"), "reference_id")
-    silent = (
-        claims.groupBy(key, "role").agg(F.max(F.size("signal_ids")).alias("signals")).where("signals <= 0")
-        .select(key, "role", F.lit(None).cast("string").alias("claim_id"),
-                F.lit("agent_signal_coverage_failed").alias("code"), F.lit(None).cast("string").alias("reference_id"))
+    nothing = F.lit(None).cast("string")
+    runs = claims.select(key).unionByName(allowed.select(key)).distinct()
+    expected = runs.select(key, F.explode(F.array(*[F.lit(r) for r in CASE_ROLES])).alias("role"))
+    addressed = claims.groupBy(key, "role").agg(F.max(F.size("signal_ids")).alias("signals"))
+    silent = expected.join(addressed, [key, "role"], "left").where("coalesce(signals, 0) <= 0").select(
+        key, "role", nothing.alias("claim_id"), F.lit("agent_signal_coverage_failed").alias("code"), nothing.alias("reference_id")
+    )
+    mislabelled = claims.where(F.col("role").isNull() | ~F.col("role").isin(*CASE_ROLES)).select(
+        key, "role", "claim_id", F.lit("agent_role_mismatch").alias("code"), nothing.alias("reference_id")
     )
-    return bad.unionByName(silent)
+    return _union([bad, silent, mislabelled])
 
 
 def uncovered_signals(claims: DataFrame, signals: DataFrame, key: str = "run_id") -> DataFrame:

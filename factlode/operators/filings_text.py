@@ -11,22 +11,22 @@ from factlode.functions.text import EDGE_SPACE, clean_text, strip_space
 from factlode.registries import PARSER_VERSION
 from factlode.sources.payloads import filing_document_url
 
-MAX_DOCUMENT_BYTES = 25_000_000
 MAX_CHUNK_CHARS = 2_400
 WHOLE_DOCUMENT = "Document"
 
 # An Item heading at the start of a line, optionally after a Part.
 HEADING = "(?imd)^(?:(PART\\s+[IVX]+)\\s+)?ITEM\\s+([0-9]+[A-Z]?)(?:\\.|\\s|$)\\s*(.*)$".replace("\\s", EDGE_SPACE)
 TITLE_EDGE = "[ .\\u2014\\-\\t]"
-_MARK = "\u0001"
+_HEADING_AHEAD = HEADING.replace("(?imd)", "(?imd)(?=", 1) + ")"
 
 
-def document_text(pages: DataFrame, content: str = "content", max_bytes: int = MAX_DOCUMENT_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(readable documents with cleaned ``body``, rejected documents with a reason)."""
+def document_text(pages: DataFrame, content: str = "content", max_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(readable documents with cleaned ``body``, rejected documents with a reason); ``max_bytes`` rejects larger ones."""
     sized = pages.withColumn("bytes", F.octet_length(content))
-    small = sized.where(F.col("bytes") <= max_bytes)
+    large = F.lit(False) if max_bytes is None else F.coalesce(F.col("bytes") > max_bytes, F.lit(False))
+    small = sized.where(~large)
     decoded = small.withColumn("body", clean_text(html_to_text(decode_payload(F.col(content)))))
-    rejected = sized.where(F.col("bytes") > max_bytes).select("accession_number", F.lit("filing_too_large").alias("reason"))
+    rejected = sized.where(large).select("accession_number", F.lit("filing_too_large").alias("reason"))
     empty = decoded.where("body = ''").select("accession_number", F.lit("filing_text_empty").alias("reason"))
     return decoded.where("body <> ''").drop("bytes"), rejected.unionByName(empty)
 
@@ -34,11 +34,11 @@ def document_text(pages: DataFrame, content: str = "content", max_bytes: int = M
 def _sections(body: Column) -> Column:
     """Pieces of a text that start at each heading, in order.
 
-    Headings are marked with a control character and the text is split there; the piece
-    before the first heading is dropped, and a text without headings is one piece.
+    The text is split where a heading lies ahead; a line break put before it makes the first
+    piece, which is dropped, end there too. A text without headings is one piece.
     """
-    pieces = F.split(F.regexp_replace(F.replace(body, F.lit(_MARK), F.lit(" ")), HEADING, _MARK + "$0"), _MARK)
-    return pieces
+    pieces = F.split(F.concat(F.lit("\n"), body), _HEADING_AHEAD, -1)
+    return F.transform(pieces, lambda piece, k: F.when(k == 0, F.substr(piece, F.lit(2))).otherwise(piece))
 
 
 def split_sections(documents: DataFrame, body: str = "body") -> DataFrame:
@@ -114,17 +114,11 @@ def filing_chunks(
 ) -> DataFrame:
     """Chunks of cleaned filing texts, all narrow transformations.
 
-    Cleaned text has no blank lines, so the default separator gives one chunk per section
-    whatever its length; ``'\\n'`` packs lines up to ``max_chars``.
+    Paragraphs are packed up to ``max_chars``. Cleaned text has no blank lines, so there the
+    default separator gives one chunk per section; ``'\\n'`` packs lines.
     """
     sections = split_sections(documents)
-    if paragraph_separator == "\n\n":
-        chunked = F.when(
-            F.col("section_text") != "",
-            F.array(F.struct(F.lit(0).alias("start"), F.col("section_text").alias("text"))),
-        )
-    else:
-        chunked = pack_paragraphs(F.col("section_text"), paragraph_separator, max_chars)
+    chunked = pack_paragraphs(F.col("section_text"), paragraph_separator, max_chars)
     rows = sections.select("*", F.posexplode(chunked).alias("sequence", "c")).drop("section_text")
     start = F.col("section_start") + F.col("c.start")
     url = F.col("source_url") if "source_url" in documents.columns else filing_document_url(

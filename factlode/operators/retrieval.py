@@ -79,9 +79,9 @@ def document_frequency(index: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.count(F.lit(1)).alias("document_frequency"))
 
 
-def expand_queries(queries: DataFrame, stemmed: bool = True) -> DataFrame:
+def expand_queries(queries: DataFrame, stemmed: bool = True, term_limit: int | None = None) -> DataFrame:
     """Query terms as token sequences: (query_id, cik, term_number, phrase, tokens)."""
-    terms = queries.select("query_id", "cik", F.posexplode(query_terms(F.col("query"))).alias("term_number", "word"))
+    terms = queries.select("query_id", "cik", F.posexplode(query_terms(F.col("query"), term_limit)).alias("term_number", "word"))
     tokens = terms.withColumn("tokens", document_tokens(F.col("word")))
     if stemmed:
         pieces = tokens.select("query_id", "cik", "term_number", F.posexplode("tokens").alias("place", "token"))

@@ -19,6 +19,7 @@ def build_session(master: str | None = None, app: str = "factlode", **settings:
         .config("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
         .config("spark.sql.parquet.compression.codec", "zstd")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master:
         builder = builder.master(master)

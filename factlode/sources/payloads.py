@@ -28,7 +28,6 @@ SUBMISSIONS = (
     "reportDate: ARRAY<STRING>, form: ARRAY<STRING>, primaryDocument: ARRAY<STRING>>>>"
 )
 DIRECTORY = "MAP<STRING, STRUCT<cik_str: STRING, ticker: STRING, title: STRING>>"
-MAX_PAYLOAD_BYTES = 50_000_000
 RECENT = ("accessionNumber", "filingDate", "reportDate", "form", "primaryDocument")
 
 

@@ -126,7 +126,7 @@ FROM (SELECT r.*, m.canonical_metric, m.m_period_type, m.m_unit,
 
 cte("accepted", """
 SELECT *, count(*) OVER g AS candidate_count, min(fact_id) OVER g AS first_id, max(fact_id) OVER g AS last_id,
-  sum(CAST(concat('0x', substr(fact_id, 1, 15)) AS BIGINT)) OVER g AS id_digest,
+  concat_ws(':', CAST(sum(CAST(concat('0x', substr(fact_id, 1, 16)) AS UBIGINT)) OVER g AS VARCHAR), CAST(sum(CAST(concat('0x', substr(fact_id, 17, 16)) AS UBIGINT)) OVER g AS VARCHAR), CAST(sum(CAST(concat('0x', substr(fact_id, 33, 16)) AS UBIGINT)) OVER g AS VARCHAR), CAST(sum(CAST(concat('0x', substr(fact_id, 49, 16)) AS UBIGINT)) OVER g AS VARCHAR)) AS id_digest,
   row_number() OVER (PARTITION BY cik, canonical_metric, unit, start_date, end_date, fiscal_year, fiscal_period, reporting_basis
     ORDER BY CASE WHEN form LIKE '%/A' THEN 1 ELSE 0 END, filed DESC, accession_number, fact_id) AS choice
 FROM cand WHERE reject_reason IS NULL
@@ -156,8 +156,7 @@ FROM (SELECT DISTINCT cik FROM raw_facts) c CROSS JOIN mapping m
 WHERE NOT EXISTS (SELECT 1 FROM facts f WHERE f.cik = c.cik AND f.canonical_metric = m.canonical_metric)
 UNION ALL
 SELECT cik, 'duplicate_period_candidates', canonical_metric,
-  CASE WHEN candidate_count = 2 THEN concat(first_id, '|', last_id)
-       ELSE concat_ws('|', first_id, last_id, CAST(candidate_count AS VARCHAR), CAST(id_digest AS VARCHAR)) END,
+  concat_ws('|', first_id, last_id, CAST(candidate_count AS VARCHAR), id_digest),
   candidate_count, concat('Selected ', accession_number, ' from ', CAST(candidate_count AS VARCHAR), ' facts for the same canonical period.')
 FROM facts WHERE candidate_count > 1
 UNION ALL
@@ -165,7 +164,7 @@ SELECT cik, 'amendment_selected', canonical_metric, fact_id, 1, concat('Selected
 FROM facts WHERE form LIKE '%/A'
 UNION ALL
 SELECT cik, 'normalization_summary', NULL, concat_ws('|', min(fact_id), max(fact_id), CAST(count(*) AS VARCHAR),
-    CAST(sum(CAST(concat('0x', substr(fact_id, 1, 15)) AS BIGINT)) AS VARCHAR)), count(*),
+    concat_ws(':', CAST(sum(CAST(concat('0x', substr(fact_id, 1, 16)) AS UBIGINT)) AS VARCHAR), CAST(sum(CAST(concat('0x', substr(fact_id, 17, 16)) AS UBIGINT)) AS VARCHAR), CAST(sum(CAST(concat('0x', substr(fact_id, 33, 16)) AS UBIGINT)) AS VARCHAR), CAST(sum(CAST(concat('0x', substr(fact_id, 49, 16)) AS UBIGINT)) AS VARCHAR))), count(*),
   concat('Selected ', CAST((SELECT count(*) FROM facts f WHERE f.cik = r.cik) AS VARCHAR), ' normalized facts from ',
     CAST(count(*) AS VARCHAR), ' raw facts using mapping version 1.0.0.')
 FROM raw_facts r GROUP BY cik

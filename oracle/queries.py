@@ -316,8 +316,7 @@ SELECT normalized_fact_id, cik, canonical_metric, fact_id AS original_fact_id, c
 add("i1_finding_facts", """
 SELECT sha256(concat_ws('|', '1.0.0', cik, reject_reason, coalesce(canonical_metric, ''), fact_id)) AS finding_id, cik, fact_id FROM cand WHERE reject_reason IS NOT NULL
 UNION ALL SELECT sha256(concat_ws('|', '1.0.0', cik, 'amendment_selected', canonical_metric, fact_id)), cik, fact_id FROM facts WHERE form LIKE '%/A'
-UNION ALL SELECT sha256(concat_ws('|', '1.0.0', cik, 'duplicate_period_candidates', canonical_metric, CASE WHEN candidate_count = 2 THEN concat(first_id, '|', last_id)
-       ELSE concat_ws('|', first_id, last_id, CAST(candidate_count AS VARCHAR), CAST(id_digest AS VARCHAR)) END)), cik, fact_id FROM accepted WHERE candidate_count > 1""")
+UNION ALL SELECT sha256(concat_ws('|', '1.0.0', cik, 'duplicate_period_candidates', canonical_metric, concat_ws('|', first_id, last_id, CAST(candidate_count AS VARCHAR), id_digest))), cik, fact_id FROM accepted WHERE candidate_count > 1""")
 add("i4_forensic_tests", f"""
 SELECT cik, test_result_id, test_id, category, {day('end_date')}, {day('start_date')}, reporting_basis,
   CASE WHEN computed THEN 'computed' ELSE 'not_computable' END AS status, CASE WHEN computed THEN {fixed('v', ONE, 'result').replace(' AS result', '')} END AS result,
@@ -371,7 +370,7 @@ add("j3_clean_text", f"""
 SELECT doc_id, sha256(array_to_string({clean_lines("replace(text, '. ', concat(' . ', chr(9), chr(10), chr(10)))")}, chr(10))) AS cleaned FROM documents""")
 add("j4_sections", """
 SELECT accession_number, section, subsection, CAST(start_at AS BIGINT) AS section_start, CAST(length(body) AS BIGINT) AS section_length FROM sections""")
-add("j6_query_terms", "SELECT query_id, string_agg(word, '|' ORDER BY first_at) AS terms FROM query_words GROUP BY query_id")
+add("j6_query_terms", "SELECT query_id, string_agg(word, '|' ORDER BY first_at) AS terms FROM query_words WHERE place <= 24 GROUP BY query_id")
 add("j7_document_tokens", f"SELECT doc_id, sha256(array_to_string({tokens('text')}, ' ')) AS tokens FROM documents")
 add("j8_bm25", "SELECT query_id, chunk_id, round(CAST(score AS DOUBLE), 6) AS score FROM hits")
 add("j9_search_index", "SELECT chunk_id, CAST(length AS BIGINT) AS length, count(*) AS terms, sum(frequency) AS weight FROM postings GROUP BY chunk_id, length")

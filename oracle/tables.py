@@ -97,11 +97,11 @@ cte("queries", """
 SELECT CAST(item_id AS VARCHAR) AS query_id, lpad(CAST(item_id AS VARCHAR), 10, '0') AS cik, text AS query FROM benchmark
 """)
 cte("query_words", f"""
-SELECT query_id, cik, w.word, w.first_at FROM (
+SELECT query_id, cik, w.word, w.first_at, w.place FROM (
   SELECT query_id, cik, word, min(n) AS first_at, row_number() OVER (PARTITION BY query_id ORDER BY min(n)) AS place
   FROM (SELECT query_id, cik, unnest(ws) AS word, generate_subscripts(ws, 1) AS n
         FROM (SELECT *, regexp_extract_all({casefold('query')}, '[A-Za-z0-9][A-Za-z0-9_-]+') AS ws FROM queries))
-  GROUP BY query_id, cik, word) w WHERE place <= 24
+  GROUP BY query_id, cik, word) w
 """)
 cte("chunk_tokens", f"""
 SELECT chunk_id, cik, form, unnest(list_concat(list_transform(a, lambda t: {{'term': t, 'weight': 2.0}}),
@@ -191,7 +191,9 @@ FROM (SELECT run_id, role, claim_id, 'signal' AS kind, unnest(signal_ids) AS ref
   UNION ALL SELECT run_id, role, claim_id, 'metric', unnest(metric_ids) FROM {claims}) r
 WHERE NOT EXISTS (SELECT 1 FROM allowed a WHERE a.run_id = r.run_id AND a.kind = r.kind AND a.reference_id = r.reference_id)
 UNION ALL
-SELECT run_id, role, NULL, 'agent_signal_coverage_failed', NULL FROM {claims} GROUP BY run_id, role HAVING max(len(signal_ids)) = 0
+SELECT e.run_id, e.role, NULL, 'agent_signal_coverage_failed', NULL
+FROM (SELECT run_id, unnest(['investigator', 'bull', 'skeptical']) AS role FROM (SELECT run_id FROM claims UNION SELECT run_id FROM allowed)) e
+WHERE NOT EXISTS (SELECT 1 FROM {claims} c WHERE c.run_id = e.run_id AND c.role = e.role AND len(c.signal_ids) > 0)
 """
 
 
