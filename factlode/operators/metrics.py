@@ -94,15 +94,18 @@ def _pick_sql(pool: str, metric: str) -> str:
 
 
 def _value_sql(formula: Formula) -> tuple[str, str]:
-    """SQL for (value, whether the denominator is zero); ``a`` is the anchor's row."""
+    """SQL for (value, whether the denominator is zero); ``a`` is the anchor's row.
+
+    A value out of range is null, so that one company's figures can't end the job for all.
+    """
     anchor, *others = formula.inputs
     values = {anchor: "a.value", **{m: f"in_{m}.value" for m in others}}
     money = {m: f"CAST({v} AS {MONEY})" for m, v in values.items()}
-    top = f"CAST({formula.numerator.format(**money)} AS {MONEY})"
+    top = f"try_cast({formula.numerator.format(**money)} AS {MONEY})"
     if formula.denominator is None:
-        return f"CAST({top} AS {METRIC})", "false"
-    bottom = f"CAST({formula.denominator.format(**money)} AS {MONEY})"
-    return f"CAST(try_divide({top}, {bottom}) AS {METRIC})", f"coalesce({bottom} = 0, false)"
+        return f"try_cast({top} AS {METRIC})", "false"
+    bottom = f"try_cast({formula.denominator.format(**money)} AS {MONEY})"
+    return f"try_cast(try_divide({top}, {bottom}) AS {METRIC})", f"coalesce({bottom} = 0, false)"
 
 
 def _draft_sql(formula: Formula, own: str) -> str:
@@ -149,24 +152,24 @@ def _entry_sql(formula: Formula, own: str) -> str:
         f"transform({_draft_sql(formula, own)}, d -> named_struct('d', d, 'missing', {fields['missing']}, "
         f"'facts', {fields['facts']}, 'confidence', {fields['confidence']}, 'id_head', {fields['id_head']}))"
     )
-    complete, computed = "size(t.missing) = 0", "(size(t.missing) = 0 AND NOT t.d.zero)"
+    complete, computed = "size(t.missing) = 0", "(size(t.missing) = 0 AND NOT t.d.zero AND t.d.value IS NOT NULL)"
     return (
         f"transform({named}, t -> named_struct('metric', t.d.formula, 'ordered', coalesce(start_date, end_date), "
         f"'id', sha2(concat_ws('|', t.id_head, array_join(t.facts, '|')), 256), 'computed', {computed}, "
         f"'value', CASE WHEN {computed} THEN t.d.value END, 'confidence', CASE WHEN {computed} THEN t.confidence END, "
         f"'facts', t.facts, 'basis', t.d.a.basis, 'unit', CASE WHEN {computed} THEN t.d.unit END, "
-        f"'flags', {_FLAGS.format(complete, 't.d.zero')}, 'reason', {_REASON.format(complete, 't.d.zero', 't.missing')}, "
+        f"'flags', {_FLAGS.format(complete, 't.d.zero', 't.d.value IS NULL')}, 'reason', {_REASON.format(complete, 't.d.zero', 't.missing', 't.d.value IS NULL')}, "
         f"'version', '{FORMULA_VERSION}'))"
     )
 
 
 _FLAGS = (
     "CASE WHEN NOT ({0}) THEN array('missing_inputs') WHEN {1} THEN array('zero_denominator') "
-    "ELSE CAST(array() AS ARRAY<STRING>) END"
+    "WHEN {2} THEN array('overflow') ELSE CAST(array() AS ARRAY<STRING>) END"
 )
 _REASON = (
     "CASE WHEN NOT ({0}) THEN concat('Missing required inputs: ', array_join({2}, ', ')) "
-    "WHEN {1} THEN 'Formula denominator is zero' END"
+    "WHEN {1} THEN 'Formula denominator is zero' WHEN {3} THEN 'Formula value is out of range' END"
 )
 
 
@@ -210,9 +213,10 @@ def evaluate_cells(cells: DataFrame, formulas: tuple[Formula, ...]) -> DataFrame
         "*", f"{fields['missing']} AS missing", f"{fields['facts']} AS facts", f"{fields['confidence']} AS confidence",
         f"{fields['id_head']} AS id_head",
     ).withColumn("complete", F.size("missing") == 0)
-    computed = F.when(derived, F.col("complete") & ~F.col("o.zero")).otherwise(F.col("o.a.computed"))
+    sound = F.col("complete") & ~F.col("o.zero") & F.col("o.value").isNotNull()
+    computed = F.when(derived, sound).otherwise(F.col("o.a.computed"))
     either = lambda new, old: F.when(derived, new).otherwise(F.col(f"o.a.{old}"))
-    if_computed = lambda column: F.when(F.col("complete") & ~F.col("o.zero"), column)
+    if_computed = lambda column: F.when(sound, column)
     return shaped.select(
         "cik",
         either(F.sha2(F.concat_ws("|", "id_head", F.array_join("facts", "|")), 256), "id").alias("metric_result_id"),
@@ -227,9 +231,9 @@ def evaluate_cells(cells: DataFrame, formulas: tuple[Formula, ...]) -> DataFrame
         either(if_computed(F.col("o.value")), "value").alias("value"),
         either(if_computed(F.col("o.unit")), "unit").alias("unit"),
         either(F.col("facts"), "facts").alias("input_fact_ids"),
-        either(F.expr(_FLAGS.format("complete", "o.zero")), "flags").alias("comparability_flags"),
+        either(F.expr(_FLAGS.format("complete", "o.zero", "o.value IS NULL")), "flags").alias("comparability_flags"),
         either(if_computed(F.col("confidence")), "confidence").alias("data_confidence"),
-        either(F.expr(_REASON.format("complete", "o.zero", "missing")), "reason").alias("not_computable_reason"),
+        either(F.expr(_REASON.format("complete", "o.zero", "missing", "o.value IS NULL")), "reason").alias("not_computable_reason"),
     )
 
 

@@ -90,7 +90,7 @@ def companyfacts_problem(parsed: str = "p") -> Column:
     broken = F.exists(
         _observations(parsed),
         lambda o: o["end"].isNull() | _blank(o["accn"]) | _blank(o["form"]) | o["filed"].isNull()
-        | o["val"].try_cast(MONEY).isNull(),
+        | o["val"].try_cast("double").isNull(),
     )
     return (
         F.when(F.col(parsed).isNull() | F.col(f"{parsed}.facts").isNull(), "invalid_payload")
@@ -173,27 +173,37 @@ def read_filings(parsed: DataFrame, payload: str = "p", manifest: str = "manifes
 
 
 def read_companyfacts(parsed: DataFrame, payload: str = "p", manifest: str = "manifest_id") -> DataFrame:
-    """One row per observation.
+    """One row per observation whose value can be stored; ``unstorable_observations`` has the others.
 
-    Four narrow explodes; there is no shuffle.  Observations that agree in everything the
-    id covers collapse in ``distinct_facts``.
+    Four narrow explodes; there is no shuffle.  The id covers the value as it was written.
+    Observations that agree in everything the id covers collapse in ``distinct_facts``.
     """
+    flat = _flat_observations(parsed, payload, manifest).where("value IS NOT NULL")
+    identifier = ids.fact_id(*[F.col(c) for c in (
+        "cik", "taxonomy", "concept", "unit", "value_text", "start_date", "end_date", "accession_number")])
+    return flat.withColumn("fact_id", identifier).drop("value_text")
+
+
+def unstorable_observations(parsed: DataFrame, payload: str = "p", manifest: str = "manifest_id") -> DataFrame:
+    """Observations whose value is out of the range of a fact, with a reason; the rest of their company is kept."""
+    flat = _flat_observations(parsed, payload, manifest).where("value IS NULL")
+    return flat.select("cik", "taxonomy", "concept", "unit", "accession_number", "value_text", F.lit("value_out_of_range").alias("reason"))
+
+
+def _flat_observations(parsed: DataFrame, payload: str, manifest: str) -> DataFrame:
     level = parsed.select("cik", F.col(manifest).alias("manifest_id"), F.explode(f"{payload}.facts").alias("taxonomy", "concepts"))
     level = level.select("cik", "manifest_id", "taxonomy", F.explode("concepts").alias("concept", "c"))
     level = level.select("cik", "manifest_id", "taxonomy", "concept", F.col("c.label").alias("label"),
                          F.explode("c.units").alias("unit", "observations"))
     level = level.select("cik", "manifest_id", "taxonomy", "concept", "label", "unit",
                          F.explode("observations").alias("o"))
-    flat = level.select(
-        "cik", "taxonomy", "concept", "label", F.col("o.val").cast(MONEY).alias("value"), "unit",
+    return level.select(
+        "cik", "taxonomy", "concept", "label", F.col("o.val").try_cast(MONEY).alias("value"), F.col("o.val").alias("value_text"), "unit",
         F.col("o.start").alias("start_date"), F.col("o.end").alias("end_date"), F.col("o.fy").alias("fiscal_year"),
         F.col("o.fp").alias("fiscal_period"), F.col("o.form").alias("form"), F.col("o.filed").alias("filed"),
         F.col("o.accn").alias("accession_number"), F.col("o.frame").alias("frame"),
         F.col("o.decimals").alias("decimals"), "manifest_id",
     )
-    identifier = ids.fact_id(*[F.col(c) for c in (
-        "cik", "taxonomy", "concept", "unit", "value", "start_date", "end_date", "accession_number")])
-    return flat.withColumn("fact_id", identifier)
 
 
 def distinct_facts(raw: DataFrame) -> DataFrame:
