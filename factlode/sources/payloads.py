@@ -175,7 +175,7 @@ def read_filings(parsed: DataFrame, payload: str = "p", manifest: str = "manifes
 def read_companyfacts(parsed: DataFrame, payload: str = "p", manifest: str = "manifest_id") -> DataFrame:
     """One row per observation whose value can be stored; ``unstorable_observations`` has the others.
 
-    Four narrow explodes; there is no shuffle.  The id covers the value as it was written.
+    Four narrow explodes; there is no shuffle.  The id covers the value in full.
     Observations that agree in everything the id covers collapse in ``distinct_facts``.
     """
     flat = _flat_observations(parsed, payload, manifest).where("value IS NOT NULL")
@@ -197,8 +197,11 @@ def _flat_observations(parsed: DataFrame, payload: str, manifest: str) -> DataFr
                          F.explode("c.units").alias("unit", "observations"))
     level = level.select("cik", "manifest_id", "taxonomy", "concept", "label", "unit",
                          F.explode("observations").alias("o"))
+    money = F.col("o.val").try_cast(MONEY)
+    # a value that money holds exactly is written one way; any other one as it came
+    value_text = F.when(F.col("o.val").try_cast("decimal(38,18)") == money, money.cast("string")).otherwise(F.col("o.val"))
     return level.select(
-        "cik", "taxonomy", "concept", "label", F.col("o.val").try_cast(MONEY).alias("value"), F.col("o.val").alias("value_text"), "unit",
+        "cik", "taxonomy", "concept", "label", money.alias("value"), value_text.alias("value_text"), "unit",
         F.col("o.start").alias("start_date"), F.col("o.end").alias("end_date"), F.col("o.fy").alias("fiscal_year"),
         F.col("o.fp").alias("fiscal_period"), F.col("o.form").alias("form"), F.col("o.filed").alias("filed"),
         F.col("o.accn").alias("accession_number"), F.col("o.frame").alias("frame"),
