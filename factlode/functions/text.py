@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from unicodedata import combining, normalize
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accented Latin letters and the plain letters they fold to.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+# Lower-case letters that Unicode decomposes into another character and marks, and what remains without the marks.
+_FOLDED = {
+    c: base for c in map(chr, range(0xC0, 0x30000))
+    if c == c.lower() and len(base := "".join(x for x in normalize("NFD", c) if not combining(x))) == 1 and base != c
+}
+_MARKS = "\\p{Mn}+"
+# Characters whose case folding is more, or other, than their lower case (that of a capital sigma depends on its place).
+_CASE_FOLDED = {c: c.casefold() for c in map(chr, range(0x80, 0x1F000)) if c.casefold() != c.lower() or c == "\u03a3"}
+_CASE_CLASS = "[" + "".join(sorted(_CASE_FOLDED)) + "]"
 
 QUERY_TERM = "[A-Za-z0-9][A-Za-z0-9_-]+"
 DOCUMENT_TOKEN = "[\\p{L}\\p{N}]+"
@@ -18,12 +26,16 @@ EDGE_SPACE = "[\\s\\x0B\\x1C-\\x1F\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029
 
 
 def casefold(text: Column) -> Column:
-    """Lower case, with the one expansion that occurs in practice (sharp s)."""
-    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    """Unicode case folding: expansions such as that of the sharp s, and lower case elsewhere."""
+    folded = F.create_map(*[F.lit(x) for pair in _CASE_FOLDED.items() for x in pair])
+    found = F.concat(F.transform(F.regexp_extract_all(text, F.lit(_CASE_CLASS), F.lit(0)), lambda c: F.element_at(folded, c)), F.array(F.lit("")))
+    expanded = F.array_join(F.zip_with(F.split(text, _CASE_CLASS, -1), found, lambda piece, c: F.concat(piece, c)), "")
+    return F.lower(F.when(text.rlike(_CASE_CLASS), expanded).otherwise(text))
 
 
 def fold_accents(text: Column) -> Column:
-    return F.translate(F.lower(text), ACCENTED, PLAIN)
+    """Lower case without accents, whether they are part of a letter or follow it."""
+    return F.regexp_replace(F.translate(F.lower(text), "".join(_FOLDED), "".join(_FOLDED.values())), _MARKS, "")
 
 
 def query_terms(query: Column, limit: int | None = None) -> Column:

@@ -205,7 +205,9 @@ def _bands(policy: PeerPolicy) -> tuple[Column, Column]:
 
 def peer_statistics(aligned: DataFrame, policy: PeerPolicy) -> DataFrame:
     """Count, quartiles and percentile of the peers of every usable target."""
-    usable = aligned.where(F.col("sic").isNotNull() & (F.col("sic") != "") & F.col("assets").isNotNull() & (F.col("assets") != 0))
+    # a company without assets is no target, but a peer where the lower ratio is 0
+    sized = (F.col("assets") != 0) | F.lit(float(policy.min_asset_ratio) <= 0)
+    usable = aligned.where(F.col("sic").isNotNull() & (F.col("sic") != "") & F.col("assets").isNotNull() & sized)
     unit = lambda amount: (amount * 10000).cast("decimal(38,8)")
     ends = [unit(F.col("assets") * F.lit(r).cast("decimal(10,4)")) for r in (policy.min_asset_ratio, policy.max_asset_ratio)]
     home, reach = _bands(policy)
@@ -218,7 +220,7 @@ def peer_statistics(aligned: DataFrame, policy: PeerPolicy) -> DataFrame:
     placed = rows.withColumn("band", F.explode(F.array_distinct(F.concat("reach", F.array("home")))))
     tagged = placed.select(
         *COHORT, "band", "cik", "value", F.col("assets_units").alias("assets"), "low", "high",
-        (F.col("band") == F.col("home")).alias("is_target"),
+        ((F.col("band") == F.col("home")) & (F.col("assets_units") != 0)).alias("is_target"),
         ((F.col("confidence") >= F.lit(policy.min_confidence)) & F.array_contains("reach", F.col("band"))).alias("is_member"),
     )
     return tagged.repartition(*_KEYS).sortWithinPartitions(*_KEYS).mapInPandas(_stream_cohorts, _STATISTICS)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from factlode.registries import STATE_CENTROIDS
-from factlode.functions.text import ACCENTED, PLAIN
 from factlode.sources.adapters import COVER, ITEM_7, ITEM_8
 from oracle.build import cte
 from oracle.chain import text
@@ -55,7 +54,7 @@ def casefold(column: str) -> str:
 
 
 def tokens(column: str) -> str:
-    return f"regexp_extract_all(translate(lower({column}), '{ACCENTED}', '{PLAIN}'), '[\\p{{L}}\\p{{N}}]+')"
+    return f"regexp_extract_all(strip_accents(lower({column})), '[\\p{{L}}\\p{{N}}]+')"
 
 
 cte("documents_clean", f"""

@@ -139,3 +139,11 @@ def test_html_nesting_comments_and_references(spark):
     frame = spark.createDataFrame([(k, t) for k, t in enumerate([*cases, *references])], "k int, t string")
     got = [r.body for r in frame.select("k", html_to_text(F.col("t")).alias("body")).orderBy("k").collect()]
     assert got == [*cases.values(), *map(html.unescape, references)]
+
+
+def test_folding_covers_the_alphabet(spark):
+    words = ["Őrség", "Žižek", "Łódź", "e\u0301te\u0301", "ŞİŞLİ", "straße", "ﬁn", "Ǆ", "ÉCOLE", "ΣΊΣΥΦΟΣ", "plain", "Ⅷ", "ŉ"]
+    frame = spark.createDataFrame([(k, w) for k, w in enumerate(words)], "k int, t string").orderBy("k")
+    rows = frame.select(text.casefold(F.col("t")).alias("c"), text.fold_accents(F.col("t")).alias("a"), text.document_tokens(F.col("t")).alias("d")).collect()
+    assert [r.c for r in rows] == [w.casefold() for w in words]
+    assert [r.a for r in rows[:5]] == ["orseg", "zizek", "łodz", "ete", "sisli"] and all(len(r.d) == 1 for r in rows)
