@@ -14,10 +14,9 @@ from factlode.session import build_session  # noqa: E402
 
 HEADLINE = (
     "e1_choose_fact", "i12_financial_history", "i6_signals", "a7_upsert_by_key", "f4_newest_filings", "f8_resolve_identity",
-    "j2_html_to_text", "i8_filing_chunks", "i14_claim_audit", "g1_metric_union",
+    "j2_html_to_text", "i8_filing_chunks", "i14_claim_audit", "g1_metric_union", "a1_read_companyfacts", "d1_quality_score",
+    "g2_findings_union", "i4_forensic_tests", "i5_anomalies", "i7_peer_context", "i9_search",
 )
-# The slow ones, run by naming them in BENCH_QUERIES:
-# g2_findings_union, d1_quality_score, i4_forensic_tests, i5_anomalies, i7_peer_context, a1_read_companyfacts, i9_search
 
 
 def main() -> None:

@@ -93,8 +93,9 @@ def evidence_packets(
     start = F.col("start_offset") + F.col("excerpt_start")
     end = start + F.length("excerpt")
     located = joined.withColumns({"start_offset": start, "end_offset": end})
-    evidence_id = F.concat(F.lit("E-"), F.upper(F.substring(F.sha2(F.concat_ws(
-        "|", "signal_id", "chunk_id", F.col("start_offset").cast("string"), F.col("end_offset").cast("string")), 256), 1, 12)))
+    # stored under the whole hash: twelve digits would meet by chance among some ten million packets
+    evidence_id = F.concat(F.lit("E-"), F.upper(F.sha2(F.concat_ws(
+        "|", "signal_id", "chunk_id", F.col("start_offset").cast("string"), F.col("end_offset").cast("string")), 256)))
     return located.select(
         evidence_id.alias("evidence_id"), "cik", "signal_id", "signal_rank", "section", "subsection", "chunk_id",
         "start_offset", "end_offset", "excerpt",
@@ -106,9 +107,13 @@ def evidence_packets(
     )
 
 
+#: "E-" and twelve digits.
+SHORT_ID = 14
+
+
 def citation(packets: DataFrame) -> Column:
-    """``[id] section, accession, url``."""
+    """``[id] section, accession, url`` with the id's short form."""
     return F.concat(
-        F.lit("["), packets["evidence_id"], F.lit("] "), packets["section"], F.lit(", "),
+        F.lit("["), F.substring(packets["evidence_id"], 1, SHORT_ID), F.lit("] "), packets["section"], F.lit(", "),
         F.coalesce(packets["accession_number"], F.lit("unknown accession")), F.lit(", "), packets["source_url"],
     )
