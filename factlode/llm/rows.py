@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 from factlode.session import checkpoint_dir
 
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 2_000_000
 
 
 def text_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", *more: str) -> DataFrame:
