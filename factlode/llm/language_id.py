@@ -70,7 +70,7 @@ class GramVectors:
 def grams_of(text: str) -> tuple[np.ndarray, np.ndarray] | None:
     """Distinct n-grams of lower-cased words with a blank around each, and their counts; None for a text without letters."""
     words = NOT_LETTERS.sub(" ", text.lower()).strip()
-    if not words:
+    if not any(map(str.isalpha, words)):  # figures such as a raised two are neither digits nor letters
         return None
     codes = np.frombuffer(f" {words} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
     return np.unique(sum(codes[k : len(codes) - N + 1 + k] << 21 * (N - 1 - k) for k in range(N)), return_counts=True)

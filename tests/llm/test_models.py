@@ -53,7 +53,7 @@ def test_prototypes_are_plain_bundles(spark):
                     a, b, c = padded[k : k + 3]
                     total += np.roll(letter(a), 2) * np.roll(letter(b), 1) * letter(c)
         assert np.allclose(model.prototypes[place], total / np.linalg.norm(total), atol=1e-5)
-    assert grams_of(" 12 _") is None
+    assert grams_of(" 12 _") is None and grams_of("\u00b2 \u00bd") is None and grams_of("\u00b2x") is not None
 
 
 def _toxic(seed, n):
