@@ -15,6 +15,7 @@ from factlode.functions.relations import string_array
 from factlode.registries import TEST_VERSION, TESTS, Diagnostic
 
 PERIOD_COLUMNS = ["period_type", "start_date", "end_date", "fiscal_year", "fiscal_period", "reporting_basis"]
+# Fixed value: the reason of every diagnostic result.
 DIAGNOSTIC_REASON = (
     "Deterministic diagnostic value only; no risk conclusion is assigned without a versioned anomaly or "
     "applicability rule."

@@ -49,6 +49,10 @@ class Normalization:
     finding_facts: DataFrame
 
 
+#: A larger registry is joined as Spark sees fit.
+MOST_BROADCAST_MAPPINGS = 10_000
+
+
 def classify_candidates(
     raw: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS, mapping: DataFrame | None = None
 ) -> DataFrame:
@@ -57,7 +61,9 @@ def classify_candidates(
     The registry is a fixed relation (31 rows by default), so the join is a broadcast and
     the facts are read once, without a shuffle, for all five fact-level finding categories.
     """
-    registry = mapping if mapping is not None else F.broadcast(mapping_frame(raw.sparkSession, mappings))
+    registry = mapping if mapping is not None else mapping_frame(raw.sparkSession, mappings)
+    if mapping is None and len(mappings) <= MOST_BROADCAST_MAPPINGS:
+        registry = F.broadcast(registry)
     joined = raw.join(registry, ["taxonomy", "concept"], "left")
     kind = periods.period_type(F.col("start_date"))
     base_form = F.regexp_replace("form", "/A$", "")
@@ -142,7 +148,7 @@ def _finding(category: Column, metric: Column, message: Column, id_text: Column,
 
 
 def fact_findings(candidates: DataFrame) -> DataFrame:
-    """Findings about one fact each: unmapped concepts and the rejection cascade."""
+    """Findings about one fact each: unmapped concepts and the rejection cascade. The messages are fixed values."""
     reason = F.col("reject_reason")
     source = F.concat(F.col("taxonomy"), F.lit(":"), F.col("concept"))
     message = (

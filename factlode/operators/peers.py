@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from factlode.functions.numbers import METRIC, MONEY
 from factlode.functions.periods import order_date
 
+# Reasons of a peer position.
 NO_POLICY = "Peer size and quality policy is not configured"
 NO_TARGET = "Target SIC or metric value is unavailable"
 NO_ASSETS = "Target assets are unavailable for size filtering"

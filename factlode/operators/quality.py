@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factlode.functions.periods import OTHER_DURATION, period_type
+from factlode.functions.periods import OTHER_DURATION
 from factlode.registries import MAPPINGS
 
+# Fixed value: the explanation of a quality score.
 SCORE_EXPLANATION = (
     "Unweighted mean of available completeness, unit consistency, mapping confidence, period alignment, and "
     "amendment-status components. Reconciliation is unavailable until statement coverage supports it."
@@ -118,10 +119,6 @@ def split_valid(frame: DataFrame, rules: Sequence[tuple[str, Column]]) -> tuple[
     return judged.where("violation IS NULL").drop("violation"), judged.where("violation IS NOT NULL")
 
 
-def with_period_type(raw: DataFrame) -> DataFrame:
-    return raw.withColumn("period_type", period_type(F.col("start_date")))
-
-
 def contains_any(text: Column, phrases: Sequence[str]) -> Column:
     """Case-insensitive containment of any literal phrase."""
     folded = F.lower(text)
