@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from factlode.llm.rows import slices, text_rows
+from factlode.llm.rows import bound_batches, slices, text_rows
 
 MATCH, MISMATCH, GAP = 2, -1, -1
 FINDINGS = "doc_id long, item_id long, score double, last_word long"
@@ -221,6 +221,7 @@ def _shared_blocks(rows: DataFrame, benchmark: DataFrame, settings: Settings) ->
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(), text_column: str = "text") -> DataFrame:
     """The rows of `docs` that share no passage with a test item, with all their columns, in their partitions: each row is judged by its
     own text, so null and repeated ids need no rule. Null and empty texts stay."""
+    bound_batches(docs.sparkSession)
     place = docs.schema.names.index(text_column)
     for shared in _shared_blocks(docs.select(F.col(text_column).cast("string").alias("text")), benchmark, settings):
 

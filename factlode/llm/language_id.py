@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from factlode.llm.rows import map_slices, remainder, slices, text_rows
+from factlode.llm.rows import bound_batches, map_slices, remainder, slices, text_rows
 
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 N = 3
@@ -171,6 +171,7 @@ def keep_identified(docs: DataFrame, least: float = 0.0) -> DataFrame:
 
     Fits on all rows that have a language. All columns stay; null ids and repeated rows are judged by their text alone.
     """
+    bound_batches(docs.sparkSession)
     model = fit_languages(docs.select("text", "lang"))
     shared, text = docs.sparkSession.sparkContext.broadcast(model), docs.schema.names.index("text")
 

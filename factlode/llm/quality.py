@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from factlode.llm.rows import slices, text_rows
+from factlode.llm.rows import bound_batches, slices, text_rows
 
 WINDOW = 8
 WEIGHTS = np.array([pow(0x9E3779B97F4A7C15, k, 2**64) for k in range(1, WINDOW + 1)], dtype=np.uint64)
@@ -126,6 +126,7 @@ def filter_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample: int
     Each task times the rules on its first `sample` rows and then runs them by rejections per second, stopping at the first rejection.
     The order changes the time only, never the verdict. A null text has no words and is rejected as too short.
     """
+    bound_batches(docs.sparkSession)
     target, text = docs.schema, docs.schema.names.index("text")
 
     def run(batches):

@@ -7,17 +7,26 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from factlode.session import checkpoint_dir
 
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 SLICE_CHARS = 2_000_000
+BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2_000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Whole texts make wide rows: the session sends Python at most BATCH_ROWS of them at once, or fewer if it says so already."""
+    now = int(spark.conf.get(BATCH_SETTING, "10000"))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
 
 
 def text_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", *more: str) -> DataFrame:
     """Id and text alone: whatever else a table has can't clash with the columns an operator adds."""
+    bound_batches(docs.sparkSession)
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"), *more)
 
 
