@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from factlode.llm.decontaminate import GAP, MATCH, MISMATCH, Settings, drop_contaminated, find_contamination, smith_waterman, words_of
+from factlode.llm.decontaminate import GAP, MATCH, MISMATCH, Aligner, Settings, _items, drop_contaminated, find_contamination, smith_waterman, words_of
 
 
 def brute_score(text, item):
@@ -76,3 +76,28 @@ def test_empty_tables(spark):
     assert find_contamination(docs, bench).collect() == []
     full = spark.createDataFrame([(1, "a b c d")], "doc_id long, text string")
     assert find_contamination(full, bench.limit(0)).collect() == [] and drop_contaminated(full, bench.limit(0)).count() == 1
+
+
+def test_recall_down_to_least_in_a_large_corpus():
+    """Items of frequent words, copies with all kinds of edits, and word counts as 30 GB of text would have them."""
+    rng = random.Random(11)
+    common = [f"w{k}" for k in range(50)]
+    weights = [1 / (k + 2) for k in range(50)]
+    prose = lambda n: rng.choices(common, weights, k=n)
+    items = [prose(rng.choice((1, 2, 3, 5, 8, 14, 22, 30))) for _ in range(30)]
+    texts = []
+    for item in items:
+        for edits in (0.0, 0.1, 0.3, 0.5, 0.8):
+            words = []
+            for w in item:
+                words += [w] if rng.random() >= edits else rng.choice(([], ["new"], [w, "new"], ["new", "new", w]))
+            texts.append(" ".join(prose(9) + words + ["x"] * rng.randint(0, 90) + prose(4)))
+    texts.append(" ".join(w for item in items[:4] for x in item for w in (x, "between")))
+    total = 5_000_000_000
+    counts = {w.encode(): int(total * x / sum(weights) / 2) for w, x in zip(common, weights)}
+    settings = Settings()
+    found = {}
+    for k, i, share, _ in Aligner(_items([(n, words_of(" ".join(x))) for n, x in enumerate(items)], counts, total, settings), settings).align(texts):
+        found[k, i] = max(found.get((k, i), 0.0), share)
+    want = {(k, i): s for k, t in enumerate(texts) for i, item in enumerate(items) if (s := brute_score(t, " ".join(item))) >= settings.least}
+    assert len(want) > 300 and found == want
