@@ -23,7 +23,11 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-HEX_BYTES = re.compile(r"(?:[0-9A-Fa-f]{2}){16,}")
+#: The shortest secret, such as token=abcdef, has 12 bytes: 16 characters of base64 and 24 hexadecimal digits.
+HEX_BYTES = re.compile(r"(?:[0-9A-Fa-f]{2}){12,}")
+#: Runs that go on in the next lines, possessive so that no run is read twice.
+LINE = re.compile(r"[A-Za-z0-9+/_-]++={0,2}")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[\x20\t]*+(?:\r\n?|\n)[\x20\t]*+[A-Za-z0-9+/_-]++)++={0,2}")
 GZIP, ZLIB = b"\x1f\x8b", (b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda")
 #: A compressed layer may grow to this many bytes; one that grows further is no text and is left alone.
 LARGEST_LAYER = 64 * 2**20
@@ -97,8 +101,8 @@ def _replaced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     return Layer("".join([*pieces, layer.text[last:]]), [*starts, *layer.starts[last:]], [*ends, *layer.ends[last:]])
 
 
-def _unpacked(data: bytes) -> bytes | None:
-    """The bytes of a compressed layer, or None if it is none, is damaged, or is larger than a layer may be."""
+def _unpacked(data: bytes) -> tuple[bytes, int] | None:
+    """The bytes of a compressed layer and how many bytes follow it, or None if it is none, is damaged, or is larger than a layer may be."""
     if not (data[:2] == GZIP or data[:2] in ZLIB):
         return None
     reader = zlib.decompressobj(wbits=47)  # gzip or zlib, by the header
@@ -106,42 +110,99 @@ def _unpacked(data: bytes) -> bytes | None:
         out = reader.decompress(data, LARGEST_LAYER)
     except zlib.error:
         return None
-    return out if reader.eof and not reader.unconsumed_tail else None
+    return (out, len(reader.unused_data)) if reader.eof and not reader.unconsumed_tail else None
 
 
-def _readable(data: bytes) -> str | None:
+def _decoded(data: bytes) -> str | None:
+    """The text of a layer; any characters make a text, so that a byte order mark or a no-break space doesn't hide the rest."""
     try:
-        text = data.decode()
+        return data.decode() or None
     except UnicodeDecodeError:
         return None
-    return text if text and all(c.isprintable() or c in "\r\n\t" for c in text) else None
+
+
+def _opened(layer: Layer, digits: str, places: range | list[int], decode, per: tuple[int, int]) -> tuple[Layer | None, bool]:
+    """(the layer that the digits at these places of `layer` hold, if it is a text; whether it was compressed)."""
+    data = decode(digits)
+    if data is None:
+        return None, False
+    found = _unpacked(data)
+    if found is not None:
+        packed, unused = found
+        if unused:  # what follows the compressed bytes is no part of the layer
+            places = places[: -(-(len(data) - unused) * per[0] // per[1])]
+        opened = {packed}
+        while (more := _unpacked(packed)) is not None and more[0] not in opened:
+            packed = more[0]
+            opened.add(packed)
+        if (text := _decoded(packed)) is None:
+            return None, True
+        return Layer(text, [layer.starts[places[0]]] * len(text), [layer.ends[places[-1]]] * len(text)), True
+    if (text := _decoded(data)) is None:
+        return None, False
+    at, starts, ends = 0, [], []
+    for c in text:
+        size = len(c.encode())
+        first, last = at * per[0] // per[1], -(-(at + size) * per[0] // per[1])
+        starts.append(layer.starts[places[first]])
+        ends.append(layer.ends[places[min(last, len(places)) - 1]])
+        at += size
+    return Layer(text, starts, ends), False
+
+
+def _line_ranges(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbouring lines that may be one block: all lines, and each series of lines of equal length, with and without the
+    lines before and after. The longest come first."""
+    n, i = len(sizes), 0
+    yield from ((a, b) for a, b in ((0, n), (0, n - 1), (1, n), (1, n - 1)) if b - a > 1)
+    while i < n:
+        j = i + 1
+        while j < n and sizes[j] == sizes[i]:
+            j += 1
+        yield from ((a, b) for a, b in ((i - 1, j + 1), (i, j + 1), (i - 1, j), (i, j)) if a >= 0 and b <= n and b - a > 1)
+        i = j
+
+
+def _wrapped(layer: Layer) -> Iterator[Layer]:
+    """Layers of blocks of base64 or hexadecimal bytes that are broken into lines. What a longer block showed isn't opened again."""
+    for m in WRAPPED.finditer(layer.text):
+        lines = [(x.start(), x.end()) for x in LINE.finditer(layer.text, m.start(), m.end())]
+        if sum(b - a for a, b in lines) < 16:
+            continue
+        before = [0]
+        for a, b in lines:
+            before.append(before[-1] + b - a)
+        texts, unpacked, tried = [], set(), set()
+        for i, j in _line_ranges([b - a for a, b in lines]):
+            size = before[j] - before[i]
+            if size < 16 or (i, j) in tried:
+                continue
+            tried.add((i, j))
+            digits = "".join(layer.text[a:b] for a, b in lines[i:j])
+            for decode, per in ((_from_base64, (4, 3)), (_from_hex, (2, 1))):
+                if any(a <= i and j <= b and p == per and (before[i] - before[a]) % per[0] == 0 for a, b, p in texts):
+                    continue
+                if decode is _from_hex and not HEX_BYTES.fullmatch(digits):
+                    continue
+                made, packed = _opened(layer, digits, [k for a, b in lines[i:j] for k in range(a, b)], decode, per)
+                if made is None or (packed and made.text in unpacked):
+                    continue
+                if packed:
+                    unpacked.add(made.text)
+                else:
+                    texts.append((i, j, per))
+                yield made
 
 
 def _blocks(layer: Layer) -> Iterator[Layer]:
-    """A layer for each run of base64 or hexadecimal bytes that decodes to readable or compressed text."""
+    """A layer for each run of base64 or hexadecimal bytes that decodes to text or compressed text, in one line or over several."""
     for pattern, decode, per in ((BASE64, _from_base64, (4, 3)), (HEX_BYTES, _from_hex, (2, 1))):
         for m in pattern.finditer(layer.text):
-            data = decode(m[0])
-            if data is None:
-                continue
-            start, end = layer.starts[m.start()], layer.ends[m.end() - 1]
-            packed = _unpacked(data)
-            if packed is not None:
-                opened = {packed}
-                while (more := _unpacked(packed)) is not None and more not in opened:
-                    packed = more
-                    opened.add(more)
-                if (text := _readable(packed)) is not None:
-                    yield Layer(text, [start] * len(text), [end] * len(text))
-            elif (text := _readable(data)) is not None:
-                at, starts, ends = 0, [], []
-                for c in text:
-                    size = len(c.encode())
-                    first, last = at * per[0] // per[1], -(-(at + size) * per[0] // per[1])
-                    starts.append(layer.starts[m.start() + first])
-                    ends.append(layer.ends[min(m.start() + last, m.end()) - 1])
-                    at += size
-                yield Layer(text, starts, ends)
+            made, _ = _opened(layer, m[0], range(m.start(), m.end()), decode, per)
+            if made is not None:
+                yield made
+    if "\n" in layer.text or "\r" in layer.text:
+        yield from _wrapped(layer)
 
 
 def _from_base64(run: str) -> bytes | None:

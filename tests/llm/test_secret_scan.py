@@ -69,5 +69,49 @@ def test_cycles_end_and_long_texts_pass():
     assert len(find_secrets("word " * 200_000 + "0123456789abcdef01234567")[1]) == 1
 
 
+def test_odd_characters_do_not_hide_a_layer():
+    for odd in ("\u00a0", "\ufeff", "\u200b", "\u3000", "\f", "\0"):
+        plain = f"{odd} password=hunter2hunter2 {odd}".encode()
+        for code in (base64.b64encode(plain), plain.hex().upper().encode(), base64.b64encode(gzip.compress(plain)), zlib.compress(plain).hex().upper().encode()):
+            code = code.decode()
+            _, spans = find_secrets(f"x: {code} y")
+            assert any(k == 0 and 3 <= a and b <= 3 + len(code) for a, k, b in spans), (odd, code)
+
+
+def test_short_uppercase_hex():
+    code = b"token=abcdef".hex().upper()
+    assert find_secrets(f"x {code} y")[1] == [(2, 0, 26)]
+
+
+def test_blocks_go_on_over_line_ends():
+    rng = random.Random(9)
+    noise = "".join(rng.choice("ghijklmnopqrstuvwxyz \u00e9") for _ in range(400))
+    plain = f"{noise} password=hunter2hunter2hunter2hunter2hunter2hunter2 {noise}"
+    at = plain.index("password")
+    for made, packed in ((base64.b64encode(plain.encode()), False), (base64.b64encode(gzip.compress(plain.encode())), True), (zlib.compress(plain.encode()).hex().upper().encode(), True)):
+        made = made.decode()
+        for width in (19, 60, 64, 76):
+            for end in ("\n", "\r\n", "\n    "):
+                for before, after in (("see: ", "\nThe rest"), ("-----BEGIN FILE-----\n", "\n-----END FILE-----\n"), ("", " x")):
+                    code = end.join(made[k : k + width] for k in range(0, len(made), width))
+                    _, spans = find_secrets(before + code + after)
+                    found = [(a - len(before), b - len(before)) for a, k, b in spans if k == 0 and a >= len(before) and b <= len(before) + len(code)]
+                    place = lambda n: n + n // width * len(end)
+                    first, last = len(plain[:at].encode()), len(plain[: plain.rindex("hunter2") + 7].encode())
+                    want = (0, len(code)) if packed else (place(first * 4 // 3), place(-(-last * 4 // 3) - 1) + 1)
+                    assert want in found, (packed, width, end, before)
+
+
+def test_word_lists_and_nested_wraps_pass():
+    rng = random.Random(2)
+    words = "\n".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 12))) for _ in range(20_000))
+    assert find_secrets(words)[1] == []
+    assert find_secrets(("a" * 76 + "\n") * 3_000)[0] != []
+    layer = "password=hunter2hunter2"
+    for _ in range(14):
+        layer = base64.encodebytes(layer.encode()).decode()
+    assert any(k == 0 for _, k, _ in find_secrets(layer)[1])
+
+
 def test_empty_table(spark):
     assert scan_secrets(spark.createDataFrame([], "doc_id long, text string")).collect() == []
