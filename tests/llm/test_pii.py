@@ -81,6 +81,34 @@ def test_mask_hides_every_span(spark):
     assert rows[5] == "[CARD] then 4111-1111-1111-1112, [CARD]"
 
 
+WHOLE = {
+    "SSNs: 123-45-6789, 234-56-7890, 345-67-8901": "SSNs: [SSN], [SSN], [SSN]",
+    "SSN issued 2024-01-02: 123-45-6789": "SSN issued 2024-01-02: [SSN]",
+    "1-2-3 123-45-6789 1-2-3 4-5-6 7-8-9 (ssn)": "1-2-3 [SSN] 1-2-3 4-5-6 7-8-9 (ssn)",
+    "ssn" + "x" * 36 + " 123-45-6789": "ssn" + "x" * 36 + " [SSN]",
+    "ssn" + "x" * 37 + " 123-45-6789": "ssn" + "x" * 37 + " 123-45-6789",
+    "ssn@x.org \u00e9: 123-45-6789": "[EMAIL] \u00e9: [SSN]",
+    "pay DE89 3704 0044 0532 0130 00 NOW OR 12": "pay [IBAN] NOW OR 12",
+    "AT61 1904 3002 3457 3201 GB82 WEST 1234 5698 7654 32 x": "[IBAN] [IBAN] x",
+    "DE89370400440532013000 AND GB82 WEST12345698765432, ok": "[IBAN] AND [IBAN], ok",
+    "DE89 3704 0044 0532 0130 01 no": "DE89 3704 0044 0532 0130 01 no",
+}
+
+
+def test_context_and_printed_accounts_are_whole(spark):
+    frame = spark.createDataFrame(list(enumerate(WHOLE)), "doc_id long, text string")
+    masked = {r.doc_id: r.text for r in mask_pii(frame).collect()}
+    for row in find_pii(frame).collect():
+        text, want = list(WHOLE.items())[row.doc_id]
+        assert masked[row.doc_id] == want
+        assert (row.n_ssn, row.n_iban) == (want.count("[SSN]"), want.count("[IBAN]")), text
+        for span in row.spans.split(","):
+            kind, a, b = span.split(":") if span else ("", 0, 0)
+            found = text[int(a) : int(b)]
+            assert kind != "iban" or found.replace(" ", "") in ("DE89370400440532013000", "AT611904300234573201", "GB82WEST12345698765432")
+            assert kind != "ssn" or re.fullmatch("[0-9]{3}-[0-9]{2}-[0-9]{4}", found)
+
+
 def test_empty_table_and_extra_columns(spark):
     frame = spark.createDataFrame([], "doc_id long, text string, n_email string, spans int")
     assert find_pii(frame).collect() == []
