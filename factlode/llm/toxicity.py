@@ -128,7 +128,7 @@ def fit_toxicity(rows: DataFrame, labels: DataFrame, prior: float | None = None,
     """Train on rows (doc_id, text) and labels (doc_id, toxic; one row per id, null ids left out).
 
     `prior` is the share of toxic texts among all; None takes the share of 1 among the labels, which is the only use of the label 0.
-    Unlabelled texts are drawn from all rows. Only ids are joined with labels; the drawn ids, whose number `settings` bounds, are then
+    Unlabelled texts are drawn from all rows, one row of each id. Only ids are joined with labels; the drawn ids, whose number `settings` bounds, are then
     broadcast to fetch their texts. Without a positive text nothing is learnt.
     """
     nothing = ToxicityModel(np.zeros(1 << settings.bits, dtype=np.float32), -50.0, settings.bits)
@@ -143,7 +143,7 @@ def fit_toxicity(rows: DataFrame, labels: DataFrame, prior: float | None = None,
         features = Features(settings.bits)
         for part in slices(batches):
             found = [np.sort(features.of(t)).tobytes() for t in part["text"]]
-            yield pa.RecordBatch.from_pydict({"draw": part["draw"], "shard": pa.array(part["shard"], pa.int32()), "positive": part["positive"], "features": found})
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(part["doc_id"], pa.int64()), "features": pa.array(found, pa.binary())})
 
     def fit(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["draw", "features"], kind="stable")
@@ -155,7 +155,9 @@ def fit_toxicity(rows: DataFrame, labels: DataFrame, prior: float | None = None,
 
     drawn = _draw(ids.join(labels.where("toxic = 1"), "doc_id", "left_semi"), settings.positives, settings, "positive")
     drawn = drawn.unionAll(_draw(ids, settings.unlabelled, settings, "unlabelled"))
-    sample = rows.join(F.broadcast(drawn), "doc_id").mapInArrow(featurize, "draw long, shard int, positive boolean, features binary")
+    # rows that repeat an id count once, by an aggregate that sends one of them from each task
+    sample = rows.join(F.broadcast(drawn.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(featurize, "doc_id long, features binary")
+    sample = sample.groupBy("doc_id").agg(F.min("features").alias("features")).join(F.broadcast(drawn), "doc_id").select("draw", "shard", "positive", "features")
     fitted = sample.groupBy("shard").applyInPandas(fit, "shard int, weights binary, bias double").orderBy("shard").collect()
     if not fitted:
         return nothing

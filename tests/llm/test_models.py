@@ -87,6 +87,14 @@ def test_toxicity_on_held_out_rows(spark):
     assert {r.predicted for r in score_toxicity(frame, told.where("toxic = 0")).collect()} == {0}
 
 
+def test_a_repeated_id_counts_once(spark):
+    docs, labels = _toxic(6, 300)
+    chosen = next(d for d, y in labels if y and zlib.crc32(str(d).encode()) % 4 != 2)
+    told = spark.createDataFrame(labels, "doc_id long, toxic int")
+    scores = lambda rows: {r.doc_id: round(r.score, 6) for r in score_toxicity(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), told).collect()}
+    assert scores(docs) == scores(docs + [docs[chosen]] * 150)
+
+
 def test_labels_of_held_out_rows_are_never_read(spark):
     docs, labels = _toxic(4, 300)
     frame = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)

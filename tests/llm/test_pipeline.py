@@ -63,3 +63,12 @@ def test_repeated_ids_keep_one_row(spark):
     rows = [(1, "a b c d e f g", "x"), (1, "a b c d e f g", "y"), (1, None, "z"), (2, "q r s t u v", "x"), (3, "q r s t u v", "x")]
     kept = drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string, source string"))
     assert sorted(map(tuple, kept.collect()), key=str) == sorted([(1, "a b c d e f g", "x"), (1, None, "z"), (2, "q r s t u v", "x")], key=str)
+
+
+def test_repeated_ids_are_not_sorted_in_one_task(spark):
+    from factlode.llm.jaccard import drop_near_copies
+
+    rows = [(1, f"a b c d e f g {k % 7}", None if k % 2 else k) for k in range(100)] + [(2, "q r s t u v", 1)]
+    kept = drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string, n_chars long").repartition(3))
+    assert sorted(map(tuple, kept.collect())) == [(1, "a b c d e f g 0", None), (2, "q r s t u v", 1)]
+    assert "Window" not in kept._jdf.queryExecution().toString()
