@@ -66,4 +66,46 @@ reached AS (SELECT doc_id AS u, doc_id AS v FROM w UNION SELECT r.u, e.v FROM re
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
 FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT u AS doc_id, min(v) AS component_id FROM reached GROUP BY u) c USING (doc_id)"""
 
-SQL: dict[str, str] = {"op1_pii": _pii(), "op4_jaccard_join": _JACCARD, "op6_quality_rules": _QUALITY}
+_MIXING = f"""
+WITH sized AS (SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^{BLANK}]+')) AS size FROM documents),
+sums AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
+weighed AS (SELECT *, [3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight, CAST(2 * source_size AS DOUBLE) AS stop FROM sums),
+ordered AS (SELECT *, row_number() OVER o AS place, coalesce(sum(stop) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stopped,
+    sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open FROM weighed WINDOW o AS (ORDER BY stop / weight, source NULLS LAST)),
+levels AS (SELECT *, (CAST(1.5 AS DOUBLE) * (SELECT sum(source_size) FROM sums) - stopped) / open AS level FROM ordered),
+chosen AS (SELECT arg_min(level, place) AS level FROM levels WHERE weight * level <= stop),
+targets AS (SELECT source, source_size, least(stop, weight * (SELECT level FROM chosen)) AS target FROM weighed),
+drawn AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN least(CAST(2 AS DOUBLE), target / source_size) ELSE CAST(0 AS DOUBLE) END AS rate,
+    CAST('0x' || md5(concat('0|', coalesce(CAST(doc_id AS VARCHAR), ''), '|', coalesce(d.source, ''), '|', md5(coalesce(text, ''))))[1:13] AS BIGINT) / CAST(4503599627370496 AS DOUBLE) AS draw
+  FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
+counted AS (SELECT *, CAST(floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END AS INT) AS copies FROM drawn)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(copies * size AS BIGINT) AS taken, rate, copies FROM counted"""
+
+#: crc32 of an id written as text, bit by bit.
+_CRC = """4294967295 - list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda acc, byte: list_reduce(list_prepend(xor(acc, byte), list_transform(range(0, 8), lambda z: CAST(z AS BIGINT))), lambda c, z: xor(c // 2, (c % 2) * 3988292384)))"""
+
+_TRIE = f"""
+WITH turns AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place,
+    md5(coalesce(role, '') || chr(31) || coalesce(text, '')) AS mark, len(regexp_extract_all(coalesce(text, ''), '[^{BLANK}]+')) AS words
+  FROM conversations WHERE conv_id IS NOT NULL),
+heads AS (SELECT conv_id, conv_id - conv_id % 20 AS base, ({_CRC}) % 4 AS head FROM (SELECT DISTINCT conv_id FROM turns)),
+parts AS (SELECT h.conv_id, 0 AS part, t.place, mark, words FROM heads h JOIN turns t ON t.conv_id = h.base AND t.place <= h.head
+  UNION ALL SELECT h.conv_id, 1, t.place, mark, words FROM heads h JOIN turns t ON t.conv_id = h.conv_id AND t.place > h.head),
+paths AS (SELECT h.conv_id, coalesce(list(mark ORDER BY part, place) FILTER (mark IS NOT NULL), []) AS path,
+    coalesce(list(words ORDER BY part, place) FILTER (mark IS NOT NULL), []) AS words FROM heads h LEFT JOIN parts p ON p.conv_id = h.conv_id GROUP BY h.conv_id),
+prefixes AS (SELECT conv_id, d AS depth, path[1:d] AS prefix, CASE WHEN d > 0 THEN words[d] ELSE 0 END AS w, len(path) = d AS ends
+  FROM (SELECT *, unnest(range(0, len(path) + 1)) AS d FROM paths)),
+nodes AS (SELECT depth, prefix, min(conv_id) AS conv_id, count(*) AS n_convs, max(w) AS w,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM prefixes GROUP BY depth, prefix),
+children AS (SELECT prefix[1:depth - 1] AS prefix, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+known AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN children c ON c.prefix = n.prefix),
+below AS (SELECT prefix[1:d] AS prefix, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * w) AS saved_tokens
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM known) GROUP BY 1)
+SELECT k.conv_id, k.depth, p.conv_id AS parent_conv_id, k.n_convs, k.n_children, CAST(b.n_leaves AS BIGINT) AS n_leaves, CAST(b.saved_tokens AS BIGINT) AS saved_tokens,
+  k.ends_sha256
+FROM known k JOIN below b ON b.prefix = k.prefix LEFT JOIN nodes p ON k.depth > 0 AND p.depth = k.depth - 1 AND p.prefix = k.prefix[1:k.depth - 1]"""
+
+SQL: dict[str, str] = {
+    "op1_pii": _pii(), "op4_jaccard_join": _JACCARD, "op6_quality_rules": _QUALITY, "op11_mixing": _MIXING, "op12_conversation_trie": _TRIE,
+}
