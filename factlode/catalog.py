@@ -13,9 +13,11 @@ from pyspark.sql import types as T
 
 from factlode.functions import ids, periods, text
 from factlode.functions.html import html_to_text
+from factlode.functions.stemming import porter
 from factlode.operators import (
     audit, company, evidence, filings_text, forensics, history, metrics, normalize, peers, quality, retrieval,
 )
+from factlode.operators.search_index import SearchIndex
 from factlode.plans.analysis import analyze
 from factlode.session import cut_lineage
 from factlode.sources import adapters, payloads, tables
@@ -489,7 +491,7 @@ def _(i: Inputs) -> DataFrame:
 
 @query("d12_document_frequency")
 def _(i: Inputs) -> DataFrame:
-    return retrieval.document_frequency(retrieval.postings(i.chunks, stemmed=False))
+    return retrieval.document_frequency(retrieval.postings(i.chunks))
 
 
 @query("d13_source_manifests")
@@ -788,6 +790,20 @@ def _(i: Inputs) -> DataFrame:
     return retrieval.bm25_search(i.chunks, i.queries, 10, stemmed=True)
 
 
+@query("i9_phrase_search")
+def _(i: Inputs) -> DataFrame:
+    """Every document asks its company for two phrases of its own text, through a stored index."""
+    index = _stored_index(i, "phrase-index")
+    index.refresh(i.chunks)
+    return retrieval.bm25_search(None, adapters.document_phrases(i.spark, i.sf), 10, stemmed=False, index=index)
+
+
+@query("i9_search_filtered")
+def _(i: Inputs) -> DataFrame:
+    """Stemmed search among the retained form and section only; statistics cover all chunks."""
+    return retrieval.bm25_search(i.chunks, i.queries, 10, stemmed=True, forms=("10-K",), sections=("PART II Item 7",))
+
+
 @query("i9_search_company_statistics")
 def _(i: Inputs) -> DataFrame:
     return retrieval.bm25_search(i.chunks, i.queries, 10, stemmed=False, phrases=False, stats_scope="cik", forms=("10-K",))
@@ -880,10 +896,48 @@ def _(i: Inputs) -> DataFrame:
 
 @query("j9_search_index")
 def _(i: Inputs) -> DataFrame:
-    index = retrieval.postings(i.chunks, stemmed=False)
+    index = retrieval.postings(i.chunks)
     return index.groupBy("chunk_id", "length").agg(F.count("term").alias("terms"), F.sum("frequency").alias("weight"))
 
 
+def _stored_index(i: Inputs, name: str) -> SearchIndex:
+    from uuid import uuid4
+
+    from factlode.session import checkpoint_dir
+
+    return SearchIndex(i.spark, f"{checkpoint_dir(i.spark).rstrip('/')}/{name}-{uuid4().hex}", buckets=8, slices=2)
+
+
+@query("j9_index_refresh")
+def _(i: Inputs) -> DataFrame:
+    """A stored index after chunks were added, changed, taken out and put back, before and after its segments are merged."""
+    number = F.expr("CAST(substring(accession_number, 3) AS BIGINT)")
+    changed = F.when(F.col("section") == "Item 8", F.concat("text", F.lit(" amended filing"))).otherwise(F.col("text"))
+    index = _stored_index(i, "refreshed-index")
+    index.refresh(i.chunks.where(number % 5 != 4))
+    index.refresh(i.chunks.where(number % 5 >= 3).withColumn("text", changed))
+    index.refresh(i.chunks.where(number % 10 == 1), removed=i.chunks.where(number % 7 == 3).select("cik", "chunk_id"))
+    found = None
+    for state in ("segments", "merged"):
+        if state == "merged":
+            index.compact()
+        counted = index.postings().join(index.frequencies(stemmed=False), "term")
+        average = index.corpus().select("average_length").scalar()
+        rows = counted.groupBy("chunk_id", "length").agg(
+            F.count("term").alias("terms"), F.sum("frequency").alias("weight"), F.sum("document_frequency").alias("shared"))
+        rows = rows.select(F.lit(state).alias("state"), "*", average.alias("average_length"))
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+@query("j7_stems")
+def _(i: Inputs) -> DataFrame:
+    """Each distinct token of the documents with its stem and the documents that hold it."""
+    tokens = F.explode(F.array_distinct(text.document_tokens(F.col("text")))).alias("term")
+    held = i.table("documents").select(tokens).groupBy("term").agg(F.count(F.lit(1)).alias("documents"))
+    return held.select("term", porter(F.col("term")).alias("stem"), "documents")
+
+
 @query("j10_minimal_excerpt")
 def _(i: Inputs) -> DataFrame:
     found = retrieval.search_hits(i.hits.where("rank <= 3"), i.chunks).join(i.queries, ["query_id", "cik"])

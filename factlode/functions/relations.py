@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from decimal import Decimal
 from typing import Any
 
@@ -38,3 +38,8 @@ def string_array(values: Iterable[str]) -> Column:
     """Array literal that keeps its element type when empty."""
     items = [F.lit(v) for v in values]
     return F.array(*items).cast("array<string>")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

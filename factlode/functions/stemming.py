@@ -1,102 +1,66 @@
-"""Suffix stripping after M. F. Porter, "An algorithm for suffix stripping" (1980)."""
+"""Suffix stripping after M. F. Porter, "An algorithm for suffix stripping" (1980), as one column expression."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
-
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-_STEP2 = (
-    ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("abli", "able"),
-    ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"),
-    ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"),
-    ("iviti", "ive"), ("biliti", "ble"),
-)
-_STEP3 = (("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", ""))
-_STEP4 = (
-    "al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti",
-    "ous", "ive", "ize",
+# Letters of a word whose consonant y are written Y: V is a vowel, C a consonant. M0 and M1 begin words whose measure is over 0 and over 1.
+V, C = "[aeiouy]", "[^aeiouy]"
+M0 = f"{C}*{V}+{C}"
+M1 = f"{C}*{V}+{C}+{V}+{C}"
+#: consonant, vowel, consonant other than w, x and y, in a word of measure 1
+SHORT = f"{C}+{V}[^aeiouywxY]"
+
+# The paper's rules, step by step. A rule's suffix is written with the letters that stay in a group; what a longer suffix
+# decides is kept from the shorter one by a look behind.
+_KEPT = (
+    "(?<!a)(tion)al|(ize)r|(al)li|(ent)li|(e)li|(ous)li|(al)ism|(ive)ness|(ful)ness|(ous)ness|(al)iti",
+    "(at)ional|(enc)i|(anc)i|(abl)i|(iz)ation|(?<!iz)(at)ion|(at)or|(iv)iti",
+    "(b)iliti",
 )
-
-
-def _shape(word: str) -> str:
-    """Letters as C (consonant) and V (vowel); y is a vowel after a consonant."""
-    shape = ""
-    for i, letter in enumerate(word):
-        vowel = letter in "aeiou" or (letter == "y" and i > 0 and shape[-1] == "C")
-        shape += "V" if vowel else "C"
-    return shape
-
-
-def _measure(stem: str) -> int:
-    return _shape(stem).count("VC")
-
-
-def _ends_cvc(word: str) -> bool:
-    return _shape(word)[-3:] == "CVC" and word[-1] not in "wxy"
-
-
-def _double(word: str) -> bool:
-    return len(word) > 1 and word[-1] == word[-2] and _shape(word)[-1] == "C"
-
-
-def _replace_longest(word: str, rules: tuple[tuple[str, str], ...]) -> str:
-    for suffix, new in sorted(rules, key=lambda r: -len(r[0])):
-        if word.endswith(suffix):
-            stem = word[: -len(suffix)]
-            return stem + new if _measure(stem) > 0 else word
-    return word
-
-
-@lru_cache(maxsize=200_000)
-def stem(word: str) -> str:
-    if len(word) < 3 or not word.isascii() or not word.isalpha():
-        return word
-    # plurals
-    if word.endswith("sses") or word.endswith("ies"):
-        word = word[:-2]
-    elif word.endswith("s") and not word.endswith("ss"):
-        word = word[:-1]
-    # past tense and gerund
-    if word.endswith("eed"):
-        if _measure(word[:-3]) > 0:
-            word = word[:-1]
-    else:
-        for suffix in ("ed", "ing"):
-            base = word[: -len(suffix)]
-            if word.endswith(suffix) and "V" in _shape(base):
-                word = base
-                if word.endswith(("at", "bl", "iz")):
-                    word += "e"
-                elif _double(word) and word[-1] not in "lsz":
-                    word = word[:-1]
-                elif _measure(word) == 1 and _ends_cvc(word):
-                    word += "e"
-                break
-    if word.endswith("y") and "V" in _shape(word[:-1]):
-        word = word[:-1] + "i"
-    word = _replace_longest(word, _STEP2)
-    word = _replace_longest(word, _STEP3)
-    for suffix in sorted(_STEP4, key=len, reverse=True):
-        if word.endswith(suffix):
-            base = word[: -len(suffix)]
-            if _measure(base) > 1 and (suffix != "ion" or base.endswith(("s", "t"))):
-                word = base
-            break
-    if word.endswith("e"):
-        base = word[:-1]
-        if _measure(base) > 1 or (_measure(base) == 1 and not _ends_cvc(base)):
-            word = base
-    if _double(word) and word.endswith("l") and _measure(word[:-1]) > 1:
-        word = word[:-1]
-    return word
-
-
-@F.pandas_udf(T.StringType())
-def porter_stem(words: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Stem of single words; applied to a vocabulary, not to running text."""
-    for batch in words:
-        yield batch.map(lambda w: None if w is None else stem(w))
+_SHORTENED = "(ic)ate|ative|(al)ize|(ic)iti|(ic)al|ful|ness"
+_DROPPED = "al|ance|ence|er|ic|able|ible|ant|ement|(?<!e)ment|(?<!m)ent|(?<=[st])ion|ou|ism|ate|iti|ous|ive|ize"
+
+
+def _groups(first: int, suffixes: str) -> str:
+    """All groups of the alternatives in a row: those of rules that did not apply are empty."""
+    return "".join(f"${{g{k}}}" for k in range(first, first + suffixes.count("(") - suffixes.count("(?")))
+
+
+def _named(suffixes: str) -> str:
+    """The same alternatives with groups g0, g1, ... by name."""
+    out, number = "", 0
+    for k, letter in enumerate(suffixes):
+        if letter == "(" and suffixes[k + 1] != "?":
+            out += f"(?<g{number}>"
+            number += 1
+        else:
+            out += letter
+    return out
+
+
+def _steps() -> list[tuple[str, str]]:
+    suffix = lambda start, rules, more="": (f"^(?<stem>{start}.*?)(?:{_named(rules)})$", "${stem}" + _groups(0, rules) + more)
+    return [
+        ("(^|[aeiou])y", "$1Y"), ("yy", "yY"),
+        # plurals
+        ("(ss|i)es$|([^s])s$", "$1$2"),
+        # past tense and gerund; # marks a word that lost its ending
+        (f"^({M0}.*)eed$", "$1ee"), (f"^(.*{V}.*)(?:(?<!e)ed|ing)$", "$1#"),
+        ("(at|bl|iz)#$", "$1e"), ("([^aeiouyYlsz])\\1#$|(y)Y#$", "$1$2"), (f"^({SHORT})#$", "$1e"), ("#$", ""),
+        (f"^(.*{V}.*)[yY]$", "$1i"),
+        # one rule of them alone: the mark keeps the others off
+        suffix(M0, _KEPT[0], "#"), suffix(M0, _KEPT[1], "e"), suffix(M0, _KEPT[2], "le"), ("#$", ""),
+        suffix(M0, _SHORTENED), suffix(M1, _DROPPED),
+        # final e and ll
+        (f"^({M1}.*)e$", "$1"), (f"^(?!{SHORT}e$)({C}*{V}+{C}+{V}*)e$", "$1"), (f"^(?={M1})(.*l)l$", "$1"),
+    ]
+
+
+def porter(word: Column) -> Column:
+    """Stem of a lower-case word; words of fewer than three letters, or with other characters than a to z, stay as they are."""
+    found = word
+    for pattern, replacement in _steps():
+        found = F.regexp_replace(found, F.lit(pattern), F.lit(replacement))
+    return F.when(word.rlike("^[a-z]{3,}$"), F.lower(found)).otherwise(word)

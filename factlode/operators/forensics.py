@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factlode.functions import ids
-from factlode.functions.numbers import middle_sum
 from factlode.functions.periods import ANNUAL, QUARTERLY, order_date
 from factlode.functions.relations import string_array
+from factlode.operators.expanding import expanding_statistics
 from factlode.registries import TEST_VERSION, TESTS, Diagnostic
 
 PERIOD_COLUMNS = ["period_type", "start_date", "end_date", "fiscal_year", "fiscal_period", "reporting_basis"]
@@ -107,11 +107,9 @@ def series_window(by_basis: bool = False) -> tuple[Window, list[str]]:
 def anomalies(results: DataFrame, by_basis: bool = False, history_ids: bool = False) -> DataFrame:
     """Expanding median, MAD, robust z, change, percentile and persistence.
 
-    A series is what ``choose_facts`` left of one metric of one company: one row per
-    distinct period, so its length follows the calendar, not the data volume.  The window
-    streams a sorted series: each row sees its prefix as an array that is reduced to
-    scalars in the projection above and never shuffled, sorted or spilled.
-    ``history_ids`` adds the ids of that prefix; the same list is given without storing it
+    A series is what ``choose_facts`` left of one metric of one company. Its rows stream through a
+    sorted structure that grows by one value a row (see ``expanding_statistics``).
+    ``history_ids`` adds the ids of the rows up to each row; the same list is given without storing it
     by the rows of the series whose ``sample_count`` is not larger.
     """
     series = results.where((F.col("status") == "computed") & F.col("value").isNotNull())
@@ -123,22 +121,11 @@ def _series_statistics(
 ) -> DataFrame:
     """Statistics of the rows that have a value; rows without one are passed over."""
     ordered, _ = series_window(by_basis)
-    prefix = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
-    windowed = {
-        "history": F.collect_list("x").over(prefix),
-        "previous": F.last("x", ignorenulls=True).over(before),
-    }
+    valued = series.where(F.col("value").isNotNull())
     if history_ids:
-        windowed["input_metric_result_ids"] = F.collect_list("metric_result_id").over(prefix)
-    framed = series.withColumn("x", F.col("value").cast("double")).withColumns(windowed).where(F.col("value").isNotNull()).withColumns({
-        "sample_count": F.size("history"), "ascending": F.sort_array("history"),
-    })
-    # doubled centre, then four times the MAD.  The deviations of an ascending array fall and
-    # then rise, which the sort merges in linear time.
-    centred = framed.withColumn("centre2", middle_sum(F.col("ascending"), F.col("sample_count")))
-    deviations = F.transform("ascending", lambda x: F.abs(x + x - F.col("centre2")))
-    spread = centred.withColumn("mad4", middle_sum(F.sort_array(deviations), F.col("sample_count")))
+        prefix = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        valued = valued.withColumn("input_metric_result_ids", F.collect_list("metric_result_id").over(prefix))
+    spread = expanding_statistics(valued, ordered, "value").withColumn("x", F.col("value").cast("double"))
     offset = F.col("x") + F.col("x") - F.col("centre2")
     robust_z = F.when(
         (F.col("sample_count") >= MIN_ROBUST_SAMPLE) & (F.col("mad4") != 0),
@@ -148,11 +135,10 @@ def _series_statistics(
         F.col("previous") != 0,
         (F.col("x") - F.col("previous")) / F.abs("previous"),
     )
-    below = F.size(F.filter("history", lambda x: x <= F.col("x")))
     measured = spread.withColumns({
         "robust_z_score": robust_z,
         "change": change,
-        "rolling_percentile": below.cast("double") / F.col("sample_count"),
+        "rolling_percentile": F.col("not_above").cast("double") / F.col("sample_count"),
         "persistence": _persistence(),
     })
     explanation = F.concat(
@@ -182,10 +168,10 @@ def _persistence() -> Column:
     sample are equally far from their mean, whatever its last bit.
     """
     slack = F.lit(1e-12) * F.abs("centre2")
-    last = F.slice("history", -3, 3)
-    distance = [F.abs(_twice(last, i) - F.col("centre2")) for i in (0, 1, 2)]
-    above = [_twice(last, i) >= F.col("centre2") for i in (0, 1, 2)]
-    under = [_twice(last, i) <= F.col("centre2") for i in (0, 1, 2)]
+    last = [F.col(c) + F.col(c) for c in ("before_previous", "previous", "x")]
+    distance = [F.abs(v - F.col("centre2")) for v in last]
+    above = [v >= F.col("centre2") for v in last]
+    under = [v <= F.col("centre2") for v in last]
     return (
         F.when(F.col("sample_count") < 3, "unknown")
         .when((distance[1] - distance[0] > slack) & (distance[2] - distance[1] > slack), "worsening")
@@ -194,11 +180,6 @@ def _persistence() -> Column:
     )
 
 
-def _twice(values: Column, index: int) -> Column:
-    item = F.get(values, F.lit(index))
-    return item + item
-
-
 # ------------------------------------------------------------------------------ signals
 @dataclass(frozen=True)
 class SignalPolicy:

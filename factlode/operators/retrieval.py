@@ -2,129 +2,86 @@
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from factlode.functions.stemming import porter_stem, stem
+from factlode.functions.stemming import porter
 from factlode.functions.text import document_tokens, query_terms
+from factlode.operators.search_index import OneTimeIndex, SearchIndex, bucket_of, forward_index, inverted, weight_at
 
-# Column weights and BM25 constants.
-WEIGHTS = {"section": 2.0, "subsection": 1.0, "text": 5.0}
+# BM25 constants.
 K1, B = 1.2, 0.75
 IDF_FLOOR = 1e-6
-CHUNK_KEYS = ["cik", "chunk_id", "form", "accession_number", "section"]
 SCORE = "decimal(28,12)"
 
 
-def chunk_tokens(chunks: DataFrame) -> DataFrame:
-    """Chunks with one token array per indexed column and their total length."""
-    tokens = {f"{c}_tokens": document_tokens(F.coalesce(F.col(c), F.lit(""))) for c in WEIGHTS}
-    length = sum((F.size(f"{c}_tokens") for c in WEIGHTS), F.lit(0))
-    return chunks.select(*CHUNK_KEYS, *[t.alias(n) for n, t in tokens.items()]).withColumn("length", length)
-
-
-_TERM_COUNTS = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("frequency", T.DoubleType())]))
-
-
-@F.pandas_udf(_TERM_COUNTS)
-def _stemmed_terms(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Weighted stem counts of one chunk: counted where the row is, so nothing is shuffled."""
-    weights = tuple(WEIGHTS.values())
-    for columns in batches:
-        rows = []
-        for arrays in zip(*columns):
-            counts: Counter[str] = Counter()
-            for tokens, weight in zip(arrays, weights):
-                for token, n in Counter(tokens).items():
-                    counts[stem(token)] += n * weight
-            rows.append([{"term": t, "frequency": f} for t, f in counts.items()])
-        yield pd.Series(rows)
-
-
-def postings(chunks: DataFrame, stemmed: bool = True) -> DataFrame:
-    """One row per (chunk, term) with the column-weighted frequency and the chunk length.
-
-    The table is the search index: write it partitioned by a hash of the term, or of the
-    company, and refresh it with the keyed upsert on ``chunk_id``.
-    """
-    tokens = chunk_tokens(chunks)
-    if stemmed:
-        counted = tokens.withColumn("t", F.explode(_stemmed_terms(*[F.col(f"{c}_tokens") for c in WEIGHTS])))
-        return counted.select(*CHUNK_KEYS, "length", F.col("t.term").alias("term"), F.col("t.frequency").alias("frequency"))
-    tagged = lambda weight: lambda t: F.struct(t.alias("term"), F.lit(weight).alias("weight"))
-    weighted = F.concat(*[F.transform(f"{c}_tokens", tagged(w)) for c, w in WEIGHTS.items()])
-    # every token of a chunk is in one task, so the partial aggregate already yields the postings
-    return (
-        tokens.select(*CHUNK_KEYS, "length", F.explode(weighted).alias("t"))
-        .groupBy(*CHUNK_KEYS, "length", F.col("t.term").alias("term"))
-        .agg(F.sum("t.weight").alias("frequency"))
-    )
-
-
 def corpus_statistics(chunks: DataFrame) -> DataFrame:
     """Document count and average length over the whole index: one row."""
-    return chunk_tokens(chunks).agg(
+    return forward_index(chunks).agg(
         F.count(F.lit(1)).alias("document_count"),
         (F.sum("length").cast("double") / F.count(F.lit(1))).alias("average_length"),
     )
 
 
+def postings(chunks: DataFrame) -> DataFrame:
+    """One row per (chunk, term) with its places, the column-weighted frequency and the chunk length."""
+    return inverted(forward_index(chunks))
+
+
 def document_frequency(index: DataFrame) -> DataFrame:
     """Chunks per term; each task sends one row per distinct term, however common it is."""
     return index.groupBy("term").agg(F.count(F.lit(1)).alias("document_frequency"))
 
 
 def expand_queries(queries: DataFrame, stemmed: bool = True, term_limit: int | None = None) -> DataFrame:
-    """Query terms as token sequences: (query_id, cik, term_number, phrase, tokens)."""
+    """Query terms as token sequences: (query_id, cik, term_number, tokens, phrase)."""
     terms = queries.select("query_id", "cik", F.posexplode(query_terms(F.col("query"), term_limit)).alias("term_number", "word"))
-    tokens = terms.withColumn("tokens", document_tokens(F.col("word")))
-    if stemmed:
-        pieces = tokens.select("query_id", "cik", "term_number", F.posexplode("tokens").alias("place", "token"))
-        stems = pieces.withColumn("token", porter_stem("token"))
-        tokens = stems.groupBy("query_id", "cik", "term_number").agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("place", "token"))), lambda s: s["token"]).alias("tokens")
-        )
-    return tokens.select("query_id", "cik", "term_number", "tokens", F.array_join("tokens", " ").alias("phrase"))
+    tokens = document_tokens(F.col("word"))
+    found = terms.withColumn("tokens", F.transform(tokens, porter) if stemmed else tokens)
+    return found.select("query_id", "cik", "term_number", "tokens", F.array_join("tokens", " ").alias("phrase"))
 
 
-def phrase_postings(chunks: DataFrame, phrases: DataFrame, stemmed: bool = True) -> DataFrame:
-    """Postings of multi-token phrases (adjacent tokens in one column).
+def phrase_postings(index: SearchIndex | OneTimeIndex, phrases: DataFrame, stemmed: bool) -> DataFrame:
+    """(phrase, cik, chunk_id, length, frequency) of chunks that hold the tokens of a phrase next to each other in one column.
 
-    A token at place p that is the i-th of a phrase votes for a match starting at p - i;
-    a start with all votes is an occurrence.
+    Only the rarest token of a phrase looks through the index. Its places, moved back by its offset, are the possible starts; the other
+    tokens are met in those chunks alone, and each keeps the starts at which it fits too.
     """
-    tokens = chunk_tokens(chunks)
-
-    def tagged(part: str, weight: float):
-        return lambda t, i: F.struct(
-            F.lit(part).alias("part"), F.lit(weight).alias("weight"), i.alias("place"), t.alias("token"))
-
-    placed = F.concat(*[F.transform(f"{c}_tokens", tagged(c, w)) for c, w in WEIGHTS.items()])
-    occurrences = tokens.select(*CHUNK_KEYS, "length", F.explode(placed).alias("t")).select(*CHUNK_KEYS, "length", "t.*")
-    if stemmed:
-        occurrences = occurrences.withColumn("token", porter_stem("token"))
-    wanted = phrases.where(F.size("tokens") > 1).select("phrase", "tokens").distinct().select(
-        "phrase", F.size("tokens").alias("needed"), F.posexplode("tokens").alias("offset", "token")
-    )
-    votes = occurrences.join(wanted, "token").groupBy(
-        *CHUNK_KEYS, "length", "part", "weight", "phrase", "needed", (F.col("place") - F.col("offset")).alias("at")
-    ).agg(F.count(F.lit(1)).alias("votes"))
-    return votes.where("votes = needed").groupBy(*CHUNK_KEYS, "length", F.col("phrase").alias("term")).agg(
-        F.sum("weight").alias("frequency")
-    )
+    name = "stem" if stemmed else "term"
+    wanted = phrases.where(F.size("tokens") > 1).select("phrase", "tokens").distinct()
+    parts = wanted.select("phrase", F.size("tokens").alias("needed"), F.posexplode("tokens").alias("offset", "token"))
+    counts = index.frequencies(stemmed).withColumnRenamed("term", "token")
+    rarest = parts.join(counts, "token").groupBy("phrase", "needed").agg(
+        F.min(F.struct("document_frequency", "offset", "token")).alias("r"), F.count(F.lit(1)).alias("known"))
+    leads = rarest.where("known = needed").select("phrase", F.col("r.token").alias("token"), F.col("r.offset").alias("offset"))
+    table = index.postings()
+    key = ["token"]
+    if "bucket" in table.columns:
+        leads, parts = (f.withColumn("bucket", bucket_of(_stem_of(f, stemmed), index.buckets)) for f in (leads, parts))
+        key = ["bucket", "token"]
+    words = table.withColumn("token", F.col(name)).select(*key, "cik", "chunk_id", "length", "places")
+    starts = F.transform("places", lambda p: p - F.col("offset"))
+    # a stem has a row for each of its forms in a chunk
+    first = words.join(leads, key).groupBy("phrase", "offset", "cik", "chunk_id", "length").agg(F.flatten(F.collect_list(starts)).alias("starts"))
+    others = first.withColumnRenamed("offset", "lead").join(parts, "phrase").where("offset <> lead")
+    fitting = F.array_intersect("starts", F.transform("places", lambda p: p - F.col("offset")))
+    met = others.join(words.drop("length"), [*key, "cik", "chunk_id"]).select(
+        "phrase", "needed", "cik", "chunk_id", "length", "offset", F.explode(fitting).alias("start"))
+    whole = met.groupBy("phrase", "needed", "cik", "chunk_id", "length", "start").agg(F.count_distinct("offset").alias("fit"))
+    return whole.where("fit = needed - 1").groupBy("phrase", "cik", "chunk_id", "length").agg(
+        F.sum(weight_at(F.col("start"))).alias("frequency"))
+
+
+def _stem_of(frame: DataFrame, stemmed: bool) -> Column:
+    return F.col("token") if stemmed else porter(F.col("token"))
 
 
 def bm25_search(
-    chunks: DataFrame, queries: DataFrame, k: int = 10, stemmed: bool = True, phrases: bool = True,
-    index: DataFrame | None = None, stats_scope: str = "index", forms: tuple[str, ...] = (),
+    chunks: DataFrame | None, queries: DataFrame, k: int = 10, stemmed: bool = True, phrases: bool = True,
+    index: SearchIndex | OneTimeIndex | None = None, stats_scope: str = "index", forms: tuple[str, ...] = (),
     accessions: tuple[str, ...] = (), sections: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Top ``k`` chunks of the query's company for each query.
+    """Top ``k`` chunks of the query's company for each query, from an index or from chunks that are indexed for this search.
 
     Query terms are OR-ed; document frequency and average length cover the whole index
     (``stats_scope='cik'`` restricts them to the company).  The join key is
@@ -133,37 +90,46 @@ def bm25_search(
     so equal chunks tie whatever order their terms arrive in; the top-k is limited on the
     map side before the shuffle by query.
     """
-    table = index if index is not None else postings(chunks, stemmed)
+    index = index if index is not None else OneTimeIndex(chunks, stemmed)
     wanted = expand_queries(queries, stemmed)
+    if not phrases:
+        wanted = wanted.where(F.size("tokens") < 2)
+    table = index.postings()
+    name, key = "stem" if stemmed else "term", ["cik", "token"]
+    single = wanted.where(F.size("tokens") == 1).select("query_id", "cik", "term_number", F.col("phrase").alias("token"))
+    if "bucket" in table.columns:
+        single, key = single.withColumn("bucket", bucket_of(_stem_of(single, stemmed), index.buckets)), ["bucket", "cik", "token"]
+    words = table.withColumn("token", F.col(name)).select(*key, "chunk_id", "length", "frequency")
+    matched = words.join(single, key).select("query_id", "cik", "term_number", F.col("token").alias("term"), "chunk_id", "length", "frequency")
+    if stemmed:
+        matched = matched.groupBy("query_id", "cik", "term_number", "term", "chunk_id", "length").agg(F.sum("frequency").alias("frequency"))
+    counts = index.frequencies(stemmed)
     if phrases:
-        table = table.unionByName(phrase_postings(chunks, wanted, stemmed))
-    scope = ["cik"] if stats_scope == "cik" else []
-    frequency = table.groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("document_frequency"))
-    terms = wanted.select("query_id", "cik", "term_number", F.col("phrase").alias("term"))
-    weighted = terms.join(frequency, [*scope, "term"])
-    lengths = chunk_tokens(chunks)
+        found = phrase_postings(index, wanted, stemmed).withColumnRenamed("phrase", "term")
+        joined = wanted.where(F.size("tokens") > 1).select("query_id", "cik", "term_number", F.col("phrase").alias("term"))
+        matched = matched.unionByName(found.join(joined, ["cik", "term"]).select(*matched.columns))
+        counts = counts.unionByName(found.groupBy("term").agg(F.count(F.lit(1)).alias("document_frequency")))
     if stats_scope == "cik":
-        totals = lengths.groupBy("cik").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("average"))
-        weighted = weighted.join(totals, "cik")
-        n, average = F.col("n"), F.col("average")
+        own = matched.select("cik", "term", "chunk_id").distinct().groupBy("cik", "term").agg(F.count(F.lit(1)).alias("document_frequency"))
+        totals = index.chunks().groupBy("cik").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("average_length"))
+        weighted = wanted.select("cik", F.col("phrase").alias("term")).distinct().join(own, ["cik", "term"]).join(totals, "cik")
     else:
-        whole = corpus_statistics(chunks).select(F.struct("document_count", "average_length")).scalar()
-        n, average = whole["document_count"], whole["average_length"]
+        whole = index.corpus().select(F.struct("document_count", "average_length")).scalar()
+        weighted = wanted.select("cik", F.col("phrase").alias("term")).distinct().join(counts, "term").withColumns(
+            {"n": whole["document_count"], "average_length": whole["average_length"]})
     df = F.col("document_frequency").cast("double")
-    raw_idf = F.log((n - df + 0.5) / (df + 0.5))
-    weighted = weighted.withColumns({
-        "idf": F.when(raw_idf <= 0, F.lit(IDF_FLOOR)).otherwise(raw_idf), "average_length": average,
-    })
-    searchable = table
-    for column, values in (("form", forms), ("accession_number", accessions), ("section", sections)):
-        if values:
-            searchable = searchable.where(F.col(column).isin(*values))
-    matched = searchable.join(
-        weighted.select("query_id", "cik", "term", "idf", "average_length"), ["cik", "term"]
-    )
+    raw_idf = F.log((F.col("n") - df + 0.5) / (df + 0.5))
+    weighted = weighted.select("cik", "term", "average_length", F.when(raw_idf <= 0, F.lit(IDF_FLOOR)).otherwise(raw_idf).alias("idf"))
+    filters = [F.col(c).isin(*v) for c, v in (("form", forms), ("accession_number", accessions), ("section", sections)) if v]
+    if filters:
+        allowed = index.chunks()
+        for condition in filters:
+            allowed = allowed.where(condition)
+        matched = matched.join(allowed.select("cik", "chunk_id"), ["cik", "chunk_id"], "left_semi")
+    scorable = matched.join(weighted, ["cik", "term"])
     norm = K1 * (1 - B + B * F.col("length") / F.col("average_length"))
     part = F.col("idf") * (F.col("frequency") * (K1 + 1.0)) / (F.col("frequency") + norm)
-    scored = matched.groupBy("query_id", "cik", "chunk_id").agg(F.sum(part.cast(SCORE)).alias("score"))
+    scored = scorable.groupBy("query_id", "cik", "chunk_id").agg(F.sum(part.cast(SCORE)).alias("score"))
     best = Window.partitionBy("query_id", "cik").orderBy(F.col("score").desc(), F.col("chunk_id"))
     return (
         scored.withColumn("score", F.col("score").cast(SCORE))

@@ -420,3 +420,13 @@ def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(
         F.col("item_id").cast("string").alias("query_id"), padded("item_id").alias("cik"), F.col("text").alias("query")
     )
+
+
+def document_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every document two phrases of its words, as terms with a hyphen and an underscore inside, asked of its company."""
+    words = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
+    joined = lambda first, size, mark: F.array_join(F.slice("words", first, size), mark)
+    return table(spark, sf_dir, "documents").withColumn("words", words).where(F.size("words") > 8).select(
+        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("query_id"),
+        F.lpad(F.floor(F.col("doc_id") / 10).cast("string"), 10, "0").alias("cik"),
+        F.concat(joined(3, 2, "-"), F.lit(" "), joined(6, 3, "_")).alias("query"))

@@ -9,7 +9,7 @@ from factlode.operators.peers import FILTERS_APPLIED, NO_ASSETS
 import oracle.tables  # noqa: F401  (registers the CTEs after the chain)
 from oracle.build import query
 from oracle.chain import PERSISTENCE, Z, spread, text
-from oracle.tables import casefold, clean_lines, tokens
+from oracle.tables import casefold, clean_lines, company_scores, phrase_scores, stemmed_hits, stems, tokens
 
 SQL: dict[str, str] = {}
 
@@ -330,6 +330,12 @@ add("i8_filing_chunks", """
 SELECT chunk_id, cik, accession_number, section, subsection, CAST(sequence AS BIGINT) AS sequence, start_offset, end_offset, sha256(body) AS text_hash, source_url FROM chunks""")
 _HIT = "SELECT query_id, cik, chunk_id, CAST(CAST(score AS DECIMAL(28,6)) AS VARCHAR) AS score, rank FROM hits"
 add("i9_search", _HIT)
+add("i9_search_stemmed", _HIT.replace("FROM hits", f"FROM ({stemmed_hits()})"))
+add("i9_search_filtered", _HIT.replace("FROM hits", f"""FROM ({stemmed_hits("p.form = '10-K' AND p.section = 'PART II Item 7'")})"""))
+add("i9_phrase_search", _HIT.replace("FROM hits", f"""FROM (SELECT *, row_number() OVER (PARTITION BY query_id, cik ORDER BY score DESC, chunk_id) AS rank
+FROM ({phrase_scores()})) WHERE rank <= 10"""))
+add("i9_search_company_statistics", _HIT.replace("FROM hits", f"""FROM (SELECT *, row_number() OVER (PARTITION BY query_id, cik ORDER BY score DESC, chunk_id) AS rank
+FROM ({company_scores()})) WHERE rank <= 10"""))
 add("i15_gate_status", f"""
 SELECT cik, n AS signal_count, CASE WHEN n = 0 THEN 'complete' ELSE 'partial' END AS status, CASE WHEN n = 0 THEN {text(NO_SIGNALS)} ELSE {text(NO_PROVIDER)} END AS stop_reason,
   true AS deterministic_only FROM (SELECT cik, (SELECT count(*) FROM signals s WHERE s.cik = c.cik) AS n FROM companies c)""")
@@ -371,6 +377,14 @@ SELECT doc_id, sha256(array_to_string({clean_lines("replace(text, '. ', concat('
 add("j4_sections", """
 SELECT accession_number, section, subsection, CAST(start_at AS BIGINT) AS section_start, CAST(length(body) AS BIGINT) AS section_length FROM sections""")
 add("j6_query_terms", "SELECT query_id, string_agg(word, '|' ORDER BY first_at) AS terms FROM query_words WHERE place <= 24 GROUP BY query_id")
+add("j7_stems", f"""
+SELECT term, stem, documents FROM ({stems(f"SELECT DISTINCT unnest({tokens('text')}) AS term FROM documents")})
+JOIN (SELECT term, count(*) AS documents FROM (SELECT DISTINCT doc_id, unnest({tokens('text')}) AS term FROM documents) GROUP BY term) USING (term)""")
 add("j7_document_tokens", f"SELECT doc_id, sha256(array_to_string({tokens('text')}, ' ')) AS tokens FROM documents")
 add("j8_bm25", "SELECT query_id, chunk_id, round(CAST(score AS DOUBLE), 6) AS score FROM hits")
 add("j9_search_index", "SELECT chunk_id, CAST(length AS BIGINT) AS length, count(*) AS terms, sum(frequency) AS weight FROM postings GROUP BY chunk_id, length")
+add("j9_index_refresh", """
+SELECT state, chunk_id, CAST(length AS BIGINT) AS length, count(*) AS terms, sum(frequency) AS weight, CAST(sum(shared) AS BIGINT) AS shared,
+  round((SELECT CAST(sum(length) AS DOUBLE) / count(*) FROM (SELECT chunk_id, max(length) AS length FROM refreshed_postings GROUP BY chunk_id)), 6) AS average_length
+FROM refreshed_postings JOIN (SELECT term, count(*) AS shared FROM refreshed_postings GROUP BY term) USING (term), (SELECT unnest(['segments', 'merged']) AS state)
+GROUP BY state, chunk_id, length""")

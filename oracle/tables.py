@@ -102,12 +102,18 @@ SELECT query_id, cik, w.word, w.first_at, w.place FROM (
         FROM (SELECT *, regexp_extract_all({casefold('query')}, '[A-Za-z0-9][A-Za-z0-9_-]+') AS ws FROM queries))
   GROUP BY query_id, cik, word) w
 """)
-cte("chunk_tokens", f"""
-SELECT chunk_id, cik, form, unnest(list_concat(list_transform(a, lambda t: {{'term': t, 'weight': 2.0}}),
+
+
+def _token_rows(chunks: str) -> str:
+    return f"""
+SELECT chunk_id, cik, form, section, unnest(list_concat(list_transform(a, lambda t: {{'term': t, 'weight': 2.0}}),
     list_concat(list_transform(b, lambda t: {{'term': t, 'weight': 1.0}}), list_transform(c, lambda t: {{'term': t, 'weight': 5.0}})))) AS t,
   len(a) + len(b) + len(c) AS length
-FROM (SELECT chunk_id, cik, form, {tokens('section')} AS a, {tokens("coalesce(subsection, '')")} AS b, {tokens('body')} AS c FROM chunks)
-""")
+FROM (SELECT chunk_id, cik, form, section, {tokens('section')} AS a, {tokens("coalesce(subsection, '')")} AS b, {tokens('body')} AS c FROM {chunks})
+"""
+
+
+cte("chunk_tokens", _token_rows("chunks"))
 cte("postings", """
 SELECT chunk_id, cik, form, length, t.term AS term, CAST(sum(t.weight) AS DOUBLE) AS frequency FROM chunk_tokens GROUP BY ALL
 """)
@@ -116,14 +122,14 @@ cte("corpus", "SELECT count(*) AS document_count, CAST(sum(length) AS DOUBLE) /
 cte("frequencies", "SELECT term, count(*) AS document_frequency FROM postings GROUP BY term")
 
 
-def _scores(words: str) -> str:
+def _scores(words: str, postings: str = "postings", frequencies: str = "frequencies", condition: str = "true") -> str:
     idf = "ln((c.document_count - f.document_frequency + 0.5::DOUBLE) / (f.document_frequency + 0.5::DOUBLE))"
     norm = "1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * p.length / c.average_length)"
     return f"""
 SELECT q.query_id, q.cik, p.chunk_id, sum(CAST((CASE WHEN {idf} <= 0 THEN 1e-6::DOUBLE ELSE {idf} END)
     * (p.frequency * 2.2::DOUBLE) / (p.frequency + {norm}) AS DECIMAL(28,12))) AS score
-FROM {words} q JOIN frequencies f ON f.term = q.word JOIN postings p ON p.term = q.word AND p.cik = q.cik CROSS JOIN corpus c
-GROUP BY q.query_id, q.cik, p.chunk_id
+FROM {words} q JOIN {frequencies} f ON f.term = q.word JOIN {postings} p ON p.term = q.word AND p.cik = q.cik CROSS JOIN corpus c
+WHERE {condition} GROUP BY q.query_id, q.cik, p.chunk_id
 """
 
 
@@ -132,6 +138,118 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, cik ORDER BY
 FROM ({_scores('query_words')})) WHERE rank <= 10
 """)
 
+# Porter's steps over the distinct words, one after the other; Y stands for a y that is a consonant.
+_BEGIN = "^[^aeiouy]*[aeiouy]+[^aeiouy]"
+_OVER_0, _OVER_1 = (lambda b: f"regexp_matches({b}, '{_BEGIN}')"), (lambda b: f"regexp_matches({b}, '{_BEGIN}+[aeiouy]+[^aeiouy]')")
+_IS_1 = lambda b: f"({_OVER_0(b)} AND NOT {_OVER_1(b)})"
+_CLOSED = lambda b: f"regexp_matches({b}, '[^aeiouy][aeiouy][^aeiouywxY]$')"
+
+
+def _suffix_rules(word: str, rules: dict[str, str], over, more: dict[str, str] | None = None) -> str:
+    """The longest suffix decides: its replacement where the rest is long enough, else the word as it is."""
+    cases = []
+    for suffix in sorted(rules, key=len, reverse=True):
+        rest = f"left({word}, -{len(suffix)})"
+        condition = over(rest) + (f" AND regexp_matches({rest}, '{more[suffix]}')" if more and suffix in more else "")
+        cases.append(f"WHEN suffix({word}, '{suffix}') THEN CASE WHEN {condition} THEN concat({rest}, '{rules[suffix]}') ELSE {word} END")
+    return f"CASE {' '.join(cases)} ELSE {word} END"
+
+
+_STEP_2 = {"ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "abli": "able", "alli": "al", "entli": "ent", "eli": "e",
+           "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al",
+           "iviti": "ive", "biliti": "ble"}
+_STEP_3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
+_STEP_4 = dict.fromkeys("al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split(), "")
+_STEPS = [
+    "regexp_replace(regexp_replace(w, '(^|[aeiou])y', '\\1Y', 'g'), 'yy', 'yY', 'g')",
+    "CASE WHEN suffix(w, 'sses') OR suffix(w, 'ies') THEN left(w, -2) WHEN suffix(w, 's') AND NOT suffix(w, 'ss') THEN left(w, -1) ELSE w END",
+    f"CASE WHEN suffix(w, 'eed') THEN CASE WHEN {_OVER_0('left(w, -3)')} THEN left(w, -1) ELSE w END "
+    "WHEN suffix(w, 'ed') AND regexp_matches(left(w, -2), '[aeiouy]') THEN concat(left(w, -2), '#') "
+    "WHEN suffix(w, 'ing') AND regexp_matches(left(w, -3), '[aeiouy]') THEN concat(left(w, -3), '#') ELSE w END",
+    "CASE WHEN NOT suffix(w, '#') THEN w WHEN regexp_matches(w, '(at|bl|iz)#$') THEN concat(left(w, -1), 'e') "
+    "WHEN lower(w[-2:-2]) = lower(w[-3:-3]) AND NOT regexp_matches(w, '[aeiouylsz]#$') THEN left(w, -2) "
+    f"WHEN {_IS_1('left(w, -1)')} AND {_CLOSED('left(w, -1)')} THEN concat(left(w, -1), 'e') ELSE left(w, -1) END",
+    "CASE WHEN regexp_matches(w, '[yY]$') AND regexp_matches(left(w, -1), '[aeiouy]') THEN concat(left(w, -1), 'i') ELSE w END",
+    _suffix_rules("w", _STEP_2, _OVER_0),
+    _suffix_rules("w", _STEP_3, _OVER_0),
+    _suffix_rules("w", _STEP_4, _OVER_1, {"ion": "[st]$"}),
+    f"CASE WHEN suffix(w, 'e') AND ({_OVER_1('left(w, -1)')} OR {_IS_1('left(w, -1)')} AND NOT {_CLOSED('left(w, -1)')}) THEN left(w, -1) ELSE w END",
+    f"CASE WHEN suffix(w, 'll') AND {_OVER_1('left(w, -1)')} THEN left(w, -1) ELSE w END",
+]
+
+
+def stems(words: str) -> str:
+    """(term, stem) of a relation with one column ``term`` of distinct words."""
+    inner = f"SELECT term, term AS w FROM ({words})"
+    for step in _STEPS:
+        inner = f"SELECT term, {step} AS w FROM ({inner})"
+    return f"SELECT term, CASE WHEN regexp_full_match(term, '[a-z]{{3,}}') THEN lower(w) ELSE term END AS stem FROM ({inner})"
+
+
+cte("word_stems", stems(f"SELECT t.term AS term FROM chunk_tokens UNION SELECT unnest({tokens('word')}) FROM query_words"))
+cte("stem_postings", """
+SELECT chunk_id, cik, form, section, length, s.stem AS term, CAST(sum(t.weight) AS DOUBLE) AS frequency
+FROM chunk_tokens JOIN word_stems s ON s.term = t.term GROUP BY ALL
+""")
+cte("stem_frequencies", "SELECT term, count(*) AS document_frequency FROM stem_postings GROUP BY term")
+# words of one token only: the benchmark texts have no others
+cte("stem_query_words", f"""
+SELECT q.query_id, q.cik, q.word AS asked, s.stem AS word FROM query_words q JOIN word_stems s ON s.term = strip_accents(q.word)
+""")
+
+
+def stemmed_hits(condition: str = "true") -> str:
+    return f"""
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, cik ORDER BY score DESC, chunk_id) AS rank
+FROM ({_scores('stem_query_words', 'stem_postings', 'stem_frequencies', condition)})) WHERE rank <= 10
+"""
+
+
+# phrases of the documents: two of them in each query, adjacent tokens in one column
+cte("phrase_words", """
+SELECT concat('d', doc_id) AS query_id, lpad(CAST(doc_id // 10 AS VARCHAR), 10, '0') AS cik,
+  unnest([[ws[3], ws[4]], [ws[6], ws[7], ws[8]]]) AS ws FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS ws FROM documents) WHERE len(ws) > 8
+""")
+cte("phrase_terms", f"""
+SELECT DISTINCT query_id, cik, asked, word FROM (
+  SELECT query_id, cik, CASE WHEN len(ws) = 2 THEN array_to_string(ws, '-') ELSE array_to_string(ws, '_') END AS asked, {tokens("array_to_string(ws, ' ')")} AS ts,
+    array_to_string(ts, ' ') AS word FROM phrase_words)
+""")
+cte("chunk_phrases", f"""
+SELECT chunk_id, cik, form, weight, unnest(list_concat(list_transform(range(1, len(ts)), lambda i: concat(ts[i], ' ', ts[i + 1])),
+  list_transform(range(1, len(ts) - 1), lambda i: concat(ts[i], ' ', ts[i + 1], ' ', ts[i + 2])))) AS term
+FROM (SELECT chunk_id, cik, form, u.ts AS ts, u.weight AS weight FROM (SELECT chunk_id, cik, form, unnest([{{'ts': {tokens('section')}, 'weight': 2.0}}, {{'ts': {tokens("coalesce(subsection, '')")}, 'weight': 1.0}},
+    {{'ts': {tokens('body')}, 'weight': 5.0}}]) AS u FROM chunks))
+""")
+cte("phrase_postings", """
+SELECT p.chunk_id, p.cik, p.form, l.length, p.term, CAST(sum(weight) AS DOUBLE) AS frequency
+FROM chunk_phrases p JOIN chunk_lengths l ON l.chunk_id = p.chunk_id AND l.cik = p.cik WHERE p.term IN (SELECT word FROM phrase_terms) GROUP BY ALL
+""")
+cte("phrase_frequencies", "SELECT term, count(*) AS document_frequency FROM phrase_postings GROUP BY term")
+
+
+
+def phrase_scores() -> str:
+    return _scores("phrase_terms", "phrase_postings", "phrase_frequencies")
+
+
+def company_scores() -> str:
+    """Scores whose frequencies and lengths are those of the query's company, over its chunks of one form."""
+    return _scores("query_words", "postings", "(SELECT cik, term, count(*) AS document_frequency FROM postings GROUP BY cik, term)", "p.form = '10-K'") \
+        .replace("f.term = q.word JOIN", "f.term = q.word AND f.cik = q.cik JOIN") \
+        .replace("CROSS JOIN corpus c", "JOIN (SELECT cik, count(*) AS document_count, avg(CAST(length AS DOUBLE)) AS average_length FROM chunk_lengths GROUP BY cik) c ON c.cik = q.cik")
+
+
+# the chunks that remain after the refreshes of the stored index
+cte("refreshed", """
+SELECT chunk_id, cik, form, section, subsection, CASE WHEN number % 5 >= 3 AND section = 'Item 8' THEN concat(body, ' amended filing') ELSE body END AS body
+FROM (SELECT *, CAST(accession_number[3:] AS BIGINT) AS number FROM chunks) WHERE number % 7 <> 3 OR number % 10 = 1
+""")
+cte("refreshed_tokens", _token_rows("refreshed"))
+cte("refreshed_postings", """
+SELECT chunk_id, length, t.term AS term, CAST(sum(t.weight) AS DOUBLE) AS frequency FROM refreshed_tokens GROUP BY ALL
+""")
+
 # ---------------------------------------------------------------------------- evidence
 cte("signal_queries", """
 SELECT signal_id, cik, signal_rank, test_id, concat_ws(' ', replace(test_id, '_', ' '), replace(evidence, '; ', ' ')) AS query FROM signals

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from factlode.functions import text
 from factlode.functions.html import html_to_text
-from factlode.functions.stemming import stem
+from tests.plain_porter import stem
 from factlode.operators import evidence, filings_text, retrieval
 
 PAGE = (
