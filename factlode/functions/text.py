@@ -24,6 +24,9 @@ DOCUMENT_TOKEN = "[\\p{L}\\p{N}]+"
 LINE_BREAK = "\\r\\n|[\\n\\r\\x0B\\x0C\\x1C-\\x1E\\x85\\u2028\\u2029]"
 EDGE_SPACE = "[\\s\\x0B\\x1C-\\x1F\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]"
 
+#: the same as single characters
+EDGE_CHARACTERS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
 
 def casefold(text: Column) -> Column:
     """Unicode case folding: expansions such as that of the sharp s, and lower case elsewhere."""
@@ -35,7 +38,9 @@ def casefold(text: Column) -> Column:
 
 def fold_accents(text: Column) -> Column:
     """Lower case without accents, whether they are part of a letter or follow it."""
-    return F.regexp_replace(F.translate(F.lower(text), "".join(_FOLDED), "".join(_FOLDED.values())), _MARKS, "")
+    lower = F.lower(text)
+    folded = F.regexp_replace(F.translate(lower, "".join(_FOLDED), "".join(_FOLDED.values())), _MARKS, "")
+    return F.when(lower.rlike("[^\\x00-\\x7F]"), folded).otherwise(lower)
 
 
 def query_terms(query: Column, limit: int | None = None) -> Column:
@@ -50,7 +55,7 @@ def document_tokens(text: Column) -> Column:
 
 
 def strip_space(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{EDGE_SPACE}+|{EDGE_SPACE}+$", "")
+    return F.btrim(text, F.lit(EDGE_CHARACTERS))
 
 
 def clean_lines(text: Column) -> Column:

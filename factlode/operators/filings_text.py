@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factlode.functions import ids
 from factlode.functions.html import decode_payload, html_to_text
+from factlode.functions.relations import let
 from factlode.functions.text import EDGE_SPACE, clean_text, strip_space
 from factlode.registries import PARSER_VERSION
 from factlode.sources.payloads import filing_document_url
@@ -79,8 +80,6 @@ def pack_paragraphs(text: Column, separator: str, max_chars: int) -> Column:
     longer than the limit stays whole.
     """
     joint = len(separator)
-    paragraphs = F.filter(F.transform(F.split(text, separator), strip_space), lambda p: p != "")
-    lengths = F.transform(paragraphs, F.length)
     empty = F.array().cast("array<struct<first:int,start:int>>")
     zero = F.struct(
         empty.alias("chunks"), F.lit(0).alias("current"), F.lit(0).alias("cursor"), F.lit(0).alias("index"),
@@ -96,17 +95,15 @@ def pack_paragraphs(text: Column, separator: str, max_chars: int) -> Column:
             (state["index"] + 1).alias("index"),
         )
 
-    chunks = F.aggregate(lengths, zero, step)["chunks"]
-    total = F.size(paragraphs)
-    bounded = F.transform(chunks, lambda c, i: F.struct(
-        c["first"].alias("first"),
-        c["start"].alias("start"),
-        F.coalesce(F.get(chunks, i + 1)["first"], total + 1).alias("next"),
-    ))
-    return F.transform(bounded, lambda c: F.struct(
-        c["start"].alias("start"),
-        F.array_join(F.slice(paragraphs, c["first"], c["next"] - c["first"]), separator).alias("text"),
-    ))
+    def cut(paragraphs: Column) -> Column:
+        def text_of(chunks: Column) -> Column:
+            following = lambda k: F.coalesce(F.get(chunks, k + 1)["first"], F.size(paragraphs) + 1)
+            return F.transform(chunks, lambda c, k: F.struct(
+                c["start"].alias("start"), F.array_join(F.slice(paragraphs, c["first"], following(k) - c["first"]), separator).alias("text")))
+
+        return let(F.aggregate(F.transform(paragraphs, F.length), zero, step)["chunks"], text_of)
+
+    return let(F.filter(F.transform(F.split(text, separator), strip_space), lambda p: p != ""), cut)
 
 
 def filing_chunks(

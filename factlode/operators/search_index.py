@@ -45,7 +45,7 @@ def _grouped(tokens: Column) -> Column:
             F.transform(
                 F.slice(ordered, first + 1, F.coalesce(F.get(s, k + 1), F.size(ordered)) - first), lambda t: t["place"]).alias("places"))))
 
-    return let(F.array_sort(tokens), cut)
+    return let(F.sort_array(tokens), cut)
 
 
 def _places(column: str, part: int) -> Column:

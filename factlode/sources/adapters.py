@@ -199,9 +199,15 @@ ITEM_7 = "PART II Item 7. Discussion of gross margin, cash flows, liquidity and
 ITEM_8 = "Item 8. Notes on receivables, inventory policy, income taxes and stock compensation"
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """A table of fewer partitions than cores is dealt to all of them before long work on each row; a larger one stays as it is."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
+
+
 def filing_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as plain-text filings, ten documents per company."""
-    documents = table(spark, sf_dir, "documents")
+    documents = spread(table(spark, sf_dir, "documents"))
     forms = F.when(F.col("lang") == "en", "10-K").otherwise("10-Q")
     return documents.select(
         F.lpad(F.floor(F.col("doc_id") / 10).cast("string"), 10, "0").alias("cik"),
@@ -220,7 +226,7 @@ def filing_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def filing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Web pages as filing HTML, one filing per page."""
-    return table(spark, sf_dir, "pages").select(
+    return spread(table(spark, sf_dir, "pages")).select(
         F.lpad(F.floor(F.col("page_id") / 10).cast("string"), 10, "0").alias("cik"),
         F.concat(F.lit("P-"), F.col("page_id").cast("string")).alias("accession_number"),
         F.lit("10-K").alias("form"),
