@@ -70,11 +70,13 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, s: Settings) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear classifier over the features that positives have significantly more often; the others weigh nothing,
-    so the length of a text doesn't matter. Full-batch steps with adaptive rates."""
+    so the length of a text doesn't matter. Unlabelled texts hold positives too: a feature is compared with its rate among the negatives
+    that the prior implies, whatever the share of positives. Full-batch steps with adaptive rates."""
     size = 1 << s.bits
     rates = [(np.bincount(np.concatenate(t), minlength=size) + 0.5) / (len(t) + 1) for t in (positive, unlabelled)]
     error = np.sqrt(sum(r * (1 - r) / len(t) for r, t in zip(rates, (positive, unlabelled))))
-    used = np.flatnonzero((rates[0] - rates[1] > s.least_z * error) & (rates[0] > 2 * rates[1]))
+    negatives = np.maximum(0, rates[1] - prior * rates[0]) / (1 - prior)
+    used = np.flatnonzero((rates[0] - rates[1] > s.least_z * error) & (rates[0] > 2 * negatives))
     column = np.full(size, -1, dtype=np.int64)
     column[used] = np.arange(len(used))
 
@@ -106,6 +108,9 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     return all_weights, float(bias + weights[-1])
 
 
+MOST_PRIOR = 0.98
+
+
 @dataclass(frozen=True)
 class ToxicityModel:
     """The mean of the shards' classifiers; without one, every text scores 0."""
@@ -127,7 +132,8 @@ def _draw(ids: DataFrame, bound: int, settings: Settings, kind: str) -> DataFram
 def fit_toxicity(rows: DataFrame, labels: DataFrame, prior: float | None = None, settings: Settings = Settings()) -> ToxicityModel:
     """Train on rows (doc_id, text) and labels (doc_id, toxic; one row per id, null ids left out).
 
-    `prior` is the share of toxic texts among all; None takes the share of 1 among the labels, which is the only use of the label 0.
+    `prior` is the share of toxic texts among all; None takes the share of 1 among the labels, which is the only use of the label 0. A
+    share over MOST_PRIOR counts as MOST_PRIOR: without negatives among the unlabelled texts there is nothing to tell apart.
     Unlabelled texts are drawn from all rows, one row of each id. Only ids are joined with labels; the drawn ids, whose number `settings` bounds, are then
     broadcast to fetch their texts. Without a positive text nothing is learnt.
     """
@@ -137,7 +143,7 @@ def fit_toxicity(rows: DataFrame, labels: DataFrame, prior: float | None = None,
     prior = told if prior is None else prior
     if not told or not prior:
         return nothing
-    prior = min(max(prior, 1e-4), 0.5)
+    prior = min(max(prior, 1e-4), MOST_PRIOR)
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(settings.bits)

@@ -114,3 +114,25 @@ def test_risk_stays_non_negative_under_memorising():
     weights, bias = fit_nnpu(positive, unlabelled, 0.2, s)
     margins = np.array([weights[t].sum() + bias for t in unlabelled])
     assert (margins[:60] > 0).mean() > 0.95 and (margins[60:] > 0).mean() < 0.05
+
+
+def test_any_share_of_toxic_texts(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8))) for _ in range(400)]
+    bad = [f"zz{k}rot" for k in range(12)]
+    for share in (0.1, 0.3, 0.6, 0.8):
+        rows, labels = [], []
+        for k in range(2_400):
+            toxic = rng.random() < share
+            text = [rng.choice(words) for _ in range(rng.randint(10, 60))]
+            for _ in range(rng.randint(2, 5) if toxic else 0):
+                text.insert(rng.randrange(len(text)), rng.choice(bad))
+            rows.append((k, " ".join(text)))
+            if rng.random() < 0.5:
+                labels.append((k, int(toxic)))
+        truth = {k: any(w in t.split() for w in bad) for k, t in rows}
+        got = score_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+        held = [(r.predicted, truth[r.doc_id]) for r in got if r.held_out]
+        assert len(held) > 400
+        assert sum(p and not t for p, t in held) <= 0.05 * sum(not t for _, t in held), share
+        assert sum(p and t for p, t in held) >= 0.95 * sum(t for _, t in held), share
