@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import base64
 import binascii
 import hashlib
 import re
@@ -10,6 +9,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from factlode.llm.rows import map_slices, text_rows
@@ -25,12 +25,20 @@ ESCAPE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: The shortest secret, such as token=abcdef, has 12 bytes: 16 characters of base64 and 24 hexadecimal digits.
 HEX_BYTES = re.compile(r"(?:[0-9A-Fa-f]{2}){12,}")
+HEX_RUN = re.compile(r"[0-9A-Fa-f]{24,}")
 #: Runs that go on in the next lines, possessive so that no run is read twice.
 LINE = re.compile(r"[A-Za-z0-9+/_-]++={0,2}")
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[\x20\t]*+(?:\r\n?|\n)[\x20\t]*+[A-Za-z0-9+/_-]++)++={0,2}")
-GZIP, ZLIB = b"\x1f\x8b", (b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda")
-#: A compressed layer may grow to this many bytes; one that grows further is no text and is left alone.
-LARGEST_LAYER = 64 * 2**20
+GZIP, ZLIB = b"\x1f\x8b\x08", (b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda")
+HEADER = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
+#: What is readable of decoded bytes: stretches of UTF-8 of at least the length of the shortest secret.
+READABLE = re.compile(
+    rb"(?:[\x00-\x7f]|[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]"
+    rb"|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}){12,}+")
+#: Compressed layers are inflated and scanned in windows of this many bytes. Neighbouring windows share OVERLAP bytes, and blanks in a row
+#: beyond BLANKS are left out where windows meet, so that no pattern is cut by a window's end.
+WINDOW, OVERLAP = 1 << 20, 1 << 14
+BLANKS = re.compile(rb"\x20{64,}+")
 
 
 @dataclass(frozen=True)
@@ -38,8 +46,8 @@ class Layer:
     """A decoded text. starts and ends give, for each of its characters, the span of the original text it comes from."""
 
     text: str
-    starts: range | list[int]
-    ends: range | list[int]
+    starts: np.ndarray
+    ends: np.ndarray
 
 
 def scan(text: str) -> Iterator[tuple[int, int, int]]:
@@ -82,72 +90,126 @@ def _utf8(data: bytes, width: int) -> list[tuple[str, int, int]] | None:
 
 
 def _replaced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
-    pieces, starts, ends, last, changed = [], [], [], 0, False
+    pieces, starts, ends, last = [], [], [], 0
     for m in pattern.finditer(layer.text):
         made = decode(m[0])
         if made is None:
             continue
-        changed = True
-        pieces.append(layer.text[last : m.start()])
-        starts.extend(layer.starts[last : m.start()])
-        ends.extend(layer.ends[last : m.start()])
-        for c, a, b in made:
-            pieces.append(c)
-            starts.append(layer.starts[m.start() + a])
-            ends.append(layer.ends[m.start() + b - 1])
+        pieces += [layer.text[last : m.start()], *(c for c, _, _ in made)]
+        starts += [layer.starts[last : m.start()], layer.starts[[m.start() + a for _, a, _ in made]]]
+        ends += [layer.ends[last : m.start()], layer.ends[[m.start() + b - 1 for _, _, b in made]]]
         last = m.end()
-    if not changed:
+    if not pieces:
         return None
-    return Layer("".join([*pieces, layer.text[last:]]), [*starts, *layer.starts[last:]], [*ends, *layer.ends[last:]])
-
-
-def _unpacked(data: bytes) -> tuple[bytes, int] | None:
-    """The bytes of a compressed layer and how many bytes follow it, or None if it is none, is damaged, or is larger than a layer may be."""
-    if not (data[:2] == GZIP or data[:2] in ZLIB):
-        return None
-    reader = zlib.decompressobj(wbits=47)  # gzip or zlib, by the header
+    return Layer("".join([*pieces, layer.text[last:]]), np.concatenate([*starts, layer.starts[last:]]), np.concatenate([*ends, layer.ends[last:]]))
+
+
+def _inflated(data: bytes, chunk: int = WINDOW) -> Iterator[bytes]:
+    """The content of gzip or zlib bytes, piece by piece; what comes before a damaged place counts."""
+    reader, rest = zlib.decompressobj(wbits=47), data
+    while rest and not reader.eof:
+        try:
+            piece = reader.decompress(rest, chunk)
+        except zlib.error:
+            return
+        rest = reader.unconsumed_tail
+        if piece:
+            yield piece
+        elif not rest:
+            return
+
+
+def _packed_end(data: bytes) -> int:
+    """How many of the bytes belong to the compressed stream at their start."""
+    reader, rest = zlib.decompressobj(wbits=47), data
     try:
-        out = reader.decompress(data, LARGEST_LAYER)
+        while rest and not reader.eof:
+            reader.decompress(rest, WINDOW)
+            rest = reader.unconsumed_tail
     except zlib.error:
-        return None
-    return (out, len(reader.unused_data)) if reader.eof and not reader.unconsumed_tail else None
-
-
-def _decoded(data: bytes) -> str | None:
-    """The text of a layer; any characters make a text, so that a byte order mark or a no-break space doesn't hide the rest."""
-    try:
-        return data.decode() or None
-    except UnicodeDecodeError:
-        return None
-
-
-def _opened(layer: Layer, digits: str, places: range | list[int], decode, per: tuple[int, int]) -> tuple[Layer | None, bool]:
-    """(the layer that the digits at these places of `layer` hold, if it is a text; whether it was compressed)."""
-    data = decode(digits)
-    if data is None:
-        return None, False
-    found = _unpacked(data)
-    if found is not None:
-        packed, unused = found
-        if unused:  # what follows the compressed bytes is no part of the layer
-            places = places[: -(-(len(data) - unused) * per[0] // per[1])]
-        opened = {packed}
-        while (more := _unpacked(packed)) is not None and more[0] not in opened:
-            packed = more[0]
-            opened.add(packed)
-        if (text := _decoded(packed)) is None:
-            return None, True
-        return Layer(text, [layer.starts[places[0]]] * len(text), [layer.ends[places[-1]]] * len(text)), True
-    if (text := _decoded(data)) is None:
-        return None, False
-    at, starts, ends = 0, [], []
-    for c in text:
-        size = len(c.encode())
-        first, last = at * per[0] // per[1], -(-(at + size) * per[0] // per[1])
-        starts.append(layer.starts[places[first]])
-        ends.append(layer.ends[places[min(last, len(places)) - 1]])
-        at += size
-    return Layer(text, starts, ends), False
+        return len(data)
+    return len(data) - len(reader.unused_data) if reader.eof else len(data)
+
+
+def _windows(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """Pieces joined to windows that overlap: memory holds one of them, however far a layer inflates."""
+    held = b""
+    for piece in pieces:
+        held += piece
+        if len(held) >= WINDOW + OVERLAP:
+            yield held
+            held = BLANKS.sub(b" " * 64, held[-4 * OVERLAP :])[-OVERLAP:]
+    if held:
+        yield held
+
+
+def _stretch(text: str, start: int, end: int) -> Layer:
+    """A text all of whose characters come from one span."""
+    return Layer(text, np.broadcast_to(np.int32(start), len(text)), np.broadcast_to(np.int32(end), len(text)))
+
+
+def _unpacked(data: bytes, start: int, end: int) -> Iterator[Layer]:
+    """Readable stretches of a compressed layer, and of compressed layers right inside it, window by window."""
+    streams, depth = [_inflated(data)], 0
+    first = next(streams[0], b"")
+    while first[:2] in ZLIB or first[:3] == GZIP:  # a stream inside a stream: inflated as it comes
+        streams.append(_reinflated(first, streams[-1]))
+        inner = next(streams[-1], b"")
+        depth += 1
+        if not inner or depth > 64 and inner == first:
+            break
+        first = inner
+    for window in _windows(_chained(first, streams[-1])):
+        for m in READABLE.finditer(window):
+            yield _stretch(m[0].decode(), start, end)
+
+
+def _chained(first: bytes, more: Iterator[bytes]) -> Iterator[bytes]:
+    yield first
+    yield from more
+
+
+def _reinflated(first: bytes, more: Iterator[bytes]) -> Iterator[bytes]:
+    reader = zlib.decompressobj(wbits=47)
+    for piece in _chained(first, more):
+        rest = piece
+        while rest and not reader.eof:
+            try:
+                out = reader.decompress(rest, WINDOW)
+            except zlib.error:
+                return
+            rest = reader.unconsumed_tail
+            if out:
+                yield out
+            elif not rest:
+                break
+        if reader.eof:
+            return
+
+
+def _opened(layer: Layer, data: bytes, places: np.ndarray, per: tuple[int, int]) -> Iterator[Layer]:
+    """Layers that bytes hold, which are written in the characters at these places, `per` characters for so many bytes: compressed
+    streams wherever one begins, and every readable stretch of the rest, so that a few other bytes do not hide it."""
+    span = lambda at, to: (at * per[0] // per[1], min(-(-to * per[0] // per[1]), len(places)) - 1)
+    at = 0
+    for m in HEADER.finditer(data):
+        if m.start() < at:
+            continue
+        end = m.start() + _packed_end(data[m.start() :])
+        first, last = span(m.start(), end)
+        layers = _unpacked(data[m.start() : end], int(layer.starts[places[first]]), int(layer.ends[places[last]]))
+        made = next(layers, None)
+        if made is not None:
+            yield made
+            yield from layers
+            at = end
+    for m in READABLE.finditer(data):
+        text = m[0].decode()
+        encoded = np.frombuffer(m[0], dtype=np.uint8)
+        begins = np.flatnonzero((encoded & 0xC0) != 0x80) + m.start()
+        stops = np.append(begins[1:], m.end())
+        lasts = np.minimum(-(-stops * per[0] // per[1]), len(places)) - 1
+        yield Layer(text, layer.starts[places[begins * per[0] // per[1]]], layer.ends[places[lasts]])
 
 
 def _line_ranges(sizes: list[int]) -> Iterator[tuple[int, int]]:
@@ -172,51 +234,47 @@ def _wrapped(layer: Layer) -> Iterator[Layer]:
         before = [0]
         for a, b in lines:
             before.append(before[-1] + b - a)
-        texts, unpacked, tried = [], set(), set()
+        whole, tried = [], set()
         for i, j in _line_ranges([b - a for a, b in lines]):
             size = before[j] - before[i]
             if size < 16 or (i, j) in tried:
                 continue
             tried.add((i, j))
             digits = "".join(layer.text[a:b] for a, b in lines[i:j])
+            places = np.concatenate([np.arange(a, b) for a, b in lines[i:j]])
             for decode, per in ((_from_base64, (4, 3)), (_from_hex, (2, 1))):
-                if any(a <= i and j <= b and p == per and (before[i] - before[a]) % per[0] == 0 for a, b, p in texts):
+                if any(a <= i and j <= b and p == per and (before[i] - before[a]) % per[0] == 0 for a, b, p in whole):
                     continue
-                if decode is _from_hex and not HEX_BYTES.fullmatch(digits):
+                if per == (2, 1) and not HEX_BYTES.fullmatch(digits):
                     continue
-                made, packed = _opened(layer, digits, [k for a, b in lines[i:j] for k in range(a, b)], decode, per)
-                if made is None or (packed and made.text in unpacked):
-                    continue
-                if packed:
-                    unpacked.add(made.text)
-                else:
-                    texts.append((i, j, per))
-                yield made
+                data = decode(digits)
+                found = False
+                for made in _opened(layer, data, places, per):
+                    found = True
+                    yield made
+                if found:
+                    whole.append((i, j, per))
 
 
 def _blocks(layer: Layer) -> Iterator[Layer]:
-    """A layer for each run of base64 or hexadecimal bytes that decodes to text or compressed text, in one line or over several."""
-    for pattern, decode, per in ((BASE64, _from_base64, (4, 3)), (HEX_BYTES, _from_hex, (2, 1))):
+    """Layers of each run of base64 or hexadecimal digits. Its alphabet also holds what stands before a block, such as the slashes of a
+    path, so a run is decoded from each of the places at which a group of digits can begin: four for base64, two for hexadecimal."""
+    for pattern, decode, per in ((BASE64, _from_base64, (4, 3)), (HEX_RUN, _from_hex, (2, 1))):
         for m in pattern.finditer(layer.text):
-            made, _ = _opened(layer, m[0], range(m.start(), m.end()), decode, per)
-            if made is not None:
-                yield made
+            for shift in range(min(per[0], len(m[0]))):
+                yield from _opened(layer, decode(m[0][shift:]), np.arange(m.start() + shift, m.end()), per)
     if "\n" in layer.text or "\r" in layer.text:
         yield from _wrapped(layer)
 
 
-def _from_base64(run: str) -> bytes | None:
-    body = run.rstrip("=")
-    if len(body) % 4 == 1:
-        return None
-    try:
-        return base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4), validate=True)
-    except binascii.Error:
-        return None
+def _from_base64(run: str) -> bytes:
+    """The bytes of all whole groups and of the digits that are left."""
+    body = run.rstrip("=").replace("-", "+").replace("_", "/")
+    return binascii.a2b_base64(body[: len(body) - (len(body) % 4 == 1)] + "=" * (-len(body) % 4 % 3))
 
 
-def _from_hex(run: str) -> bytes | None:
-    return bytes.fromhex(run)
+def _from_hex(run: str) -> bytes:
+    return bytes.fromhex(run[: len(run) // 2 * 2])
 
 
 def find_secrets(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -227,17 +285,19 @@ def find_secrets(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     """
     base = sorted((a, k, b) for a, b, k in scan(text))
     found, seen = set(base), {hashlib.blake2b(text.encode(), digest_size=16).digest()}
-    work = [Layer(text, range(len(text)), range(1, len(text) + 1))]
+    work = [Layer(text, np.arange(len(text), dtype=np.int32), np.arange(1, len(text) + 1, dtype=np.int32))]
     while work:
         layer = work.pop()
         new = [made for made in (_url(layer), _unicode(layer)) if made] if "%" in layer.text or "\\" in layer.text else []
         for made in [*new, *_blocks(layer)]:
             # the same content elsewhere in the text is another layer, the same content in the same place is a cycle
-            key = hashlib.blake2b(f"{made.starts[0] if made.starts else 0}:{made.ends[-1] if made.ends else 0}:".encode() + made.text.encode(), digest_size=16).digest()
-            if not made.text or key in seen:
+            if not made.text:
+                continue
+            key = hashlib.blake2b(f"{made.starts[0]}:{made.ends[-1]}:".encode() + made.text.encode(), digest_size=16).digest()
+            if key in seen:
                 continue
             seen.add(key)
-            found.update((made.starts[a], k, made.ends[b - 1]) for a, b, k in scan(made.text))
+            found.update((int(made.starts[a]), k, int(made.ends[b - 1])) for a, b, k in scan(made.text))
             work.append(made)
     return base, sorted(found)
 
@@ -250,7 +310,7 @@ def scan_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, then n_decoded (spans that only decoded layers show), one row for each row.
 
     Spans are code points of the text, end exclusive, by start, kind and end. A null text counts as empty. Null ids, repeated rows and
-    further columns change nothing. A compressed layer of more than LARGEST_LAYER bytes is not opened.
+    further columns change nothing. Compressed layers of any size are inflated window by window; all spans in one are its own whole span.
     """
 
     def make():

@@ -115,3 +115,32 @@ def test_word_lists_and_nested_wraps_pass():
 
 def test_empty_table(spark):
     assert scan_secrets(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_prefixes_of_the_alphabet_and_bad_bytes_do_not_hide_a_layer():
+    for secret in ("password=hunter2222", "token=abcdef"):
+        for code in (base64.b64encode(secret.encode()), base64.urlsafe_b64encode(gzip.compress(secret.encode())), base64.b64encode(b"\xff\xfe" + secret.encode() + b"\xff")):
+            code = code.decode()
+            for before in ("", " ", "ab/", "x/", "id_", "blob-", "path/to/", "https://h/x/", "a", "ab", "abc"):
+                _, spans = find_secrets(f"{before}{code}")
+                assert any(k == 0 and len(before) <= a + 3 and b <= len(before) + len(code) for a, k, b in spans), (secret, before, code)
+        for odd in ("", "f", "0"):
+            assert any(k == 0 for _, k, _ in find_secrets(f"{odd}{secret.encode().hex()}")[1])
+            assert any(k == 0 for _, k, _ in find_secrets(f"{odd}{(b'\xfe' + secret.encode() + b'\xff').hex().upper()}")[1])
+
+
+def test_large_compressed_layers_are_read_in_windows():
+    secret = b"password=hunter2hunter2"
+    for size in (3 * 2**20, 70 * 2**20):
+        plain = b"ab cd\n" * (size // 6) + secret + b" x" * 1000
+        for code in (base64.b64encode(gzip.compress(plain, 1)), base64.b64encode(zlib.compress(gzip.compress(plain, 1)))):
+            text = f"see {code.decode()} end"
+            _, spans = find_secrets(text)
+            assert (4, 0, 4 + len(code)) in spans or any(k == 0 and a == 4 for a, k, _ in spans)
+    # a secret on a window's end, after more blanks than windows share, and behind a damaged place
+    from factlode.llm.secret_scan import OVERLAP, WINDOW
+    for lead in (WINDOW - 5, WINDOW + OVERLAP - 12, WINDOW + OVERLAP):
+        plain = b"z" * lead + b" password" + b" " * (3 * OVERLAP) + b"= hunter2hunter2"
+        assert any(k == 0 for _, k, _ in find_secrets(base64.b64encode(zlib.compress(plain)).decode())[1]), lead
+    code = gzip.compress(secret + b" " + bytes(range(256)) * 50)
+    assert any(k == 0 for _, k, _ in find_secrets(base64.b64encode(code[: len(code) // 2]).decode())[1])
