@@ -243,6 +243,78 @@ def _(i: Inputs) -> DataFrame:
     return rows.select("cik", "finding_id", "category", "severity", "metric", "affected_count")
 
 
+def _folder(i: Inputs, name: str) -> str:
+    from uuid import uuid4
+
+    from factlode.session import checkpoint_dir
+
+    return f"{checkpoint_dir(i.spark).rstrip('/')}/{name}-{uuid4().hex}"
+
+
+@query("a7_stored_upsert")
+def _(i: Inputs) -> DataFrame:
+    """Companies after a second batch with new, changed and equal rows, read from base and delta and again after they were merged."""
+    store = tables.Warehouse(i.spark, _folder(i, "upserts"))
+    digit = F.substring("cik", 10, 1).cast("int")
+    store.upsert("companies", i.companies.where(digit < 8), buckets=4)
+    named = F.when(digit % 3 == 1, F.concat("legal_name", F.lit(" Holding"))).otherwise(F.col("legal_name"))
+    store.upsert("companies", i.companies.where(digit > 2).withColumn("legal_name", named))
+    before = cut_lineage(store.companies().select(F.lit("base and delta").alias("state"), "cik", "legal_name", "sic"))
+    tables.compact(i.spark, store.root, "companies")
+    return before.unionByName(store.companies().select(F.lit("merged").alias("state"), "cik", "legal_name", "sic"))
+
+
+@query("a8_written_layout")
+def _(i: Inputs) -> DataFrame:
+    """Facts written by version, mapping, bucket of companies and year, counted from the folders that were written."""
+    root = _folder(i, "layout")
+    tables.upsert(i.spark, root, "normalized_facts", i.facts, buckets=4)
+    written = i.spark.read.parquet(tables.dataset_path(root, "normalized_facts"))
+    parts = written.select(F.col("version").cast("string"), F.col("mapping").cast("string"), F.col("year_part").cast("string"), "cik", "cik_bucket")
+    return parts.groupBy("version", "mapping", "year_part").agg(
+        F.count(F.lit(1)).alias("row_count"), F.count_distinct("cik").alias("companies"),
+        (F.count_distinct("cik", "cik_bucket") == F.count_distinct("cik")).alias("one_bucket_each"))
+
+
+@query("a9_dataset_views")
+def _(i: Inputs) -> DataFrame:
+    """SQL over the views of a warehouse that holds two versions of filings with different columns."""
+    root = _folder(i, "views")
+    tables.upsert(i.spark, root, "filings", i.filings, buckets=4)
+    older = i.filings.select(
+        F.concat(F.lit("old-"), "accession_number").alias("accession_number"), "cik", "form", "filing_date", F.lit(1).alias("pages"))
+    older.write.parquet(f"{tables.dataset_path(root, 'filings')}/version=0.9.0/cik_bucket=0")
+    tables.upsert(i.spark, root, "data_quality_findings", i.findings, buckets=4)
+    tables.create_views(i.spark, root)
+    return i.spark.sql("""
+        SELECT form, accession_number LIKE 'old-%' AS older, count(*) AS filings, count(primary_document) AS documents,
+               CAST(min(filing_date) AS STRING) AS first_date, (SELECT count(*) FROM data_quality_findings) AS findings
+        FROM filings GROUP BY 1, 2""")
+
+
+@query("a10_stored_scan")
+def _(i: Inputs) -> DataFrame:
+    """Findings of one category, scanned from the stored table."""
+    root = _folder(i, "findings")
+    tables.upsert(i.spark, root, "data_quality_findings", i.findings, buckets=4)
+    rows = tables.scan(i.spark, root, "data_quality_findings", ordered=False, category="incompatible_unit")
+    return rows.select("cik", "finding_id", "category", "severity", "metric", "affected_count")
+
+
+@query("a11_named_readers")
+def _(i: Inputs) -> DataFrame:
+    """Every row that the readers give for one company, from a warehouse of all companies."""
+    store = tables.Warehouse(i.spark, _folder(i, "readers"))
+    for name, frame in (("companies", i.companies), ("filings", i.filings), ("normalized_facts", i.facts), ("data_quality_findings", i.findings)):
+        store.upsert(name, frame, buckets=4)
+    asked, found = "0000000001", None
+    for reader, key in (("company", "cik"), ("filings", "accession_number"), ("normalized_facts", "normalized_fact_id"), ("data_quality_findings", "finding_id")):
+        rows = getattr(store, reader)(asked).select(F.lit(reader).alias("reader"), F.col(key).alias("row_key"))
+        found = rows if found is None else found.unionByName(rows)
+    counts = store.counts("companies", "filings", "normalized_facts", "signals")
+    return found.unionByName(counts.select(F.lit("counts").alias("reader"), F.concat_ws(" ", "dataset", "row_count").alias("row_key")))
+
+
 @query("a12_agent_outputs")
 def _(i: Inputs) -> DataFrame:
     return audit.agent_outputs(adapters.reports(i.spark, i.sf))

@@ -84,6 +84,25 @@ add("a8_partition_layout", """
 SELECT '1.0.0' AS version, '1.0.0' AS mapping, cik AS cik_part, CAST(fiscal_year AS VARCHAR) AS year_part, count(*) AS row_count
 FROM facts GROUP BY cik, fiscal_year""")
 add("a10_typed_scan", "SELECT cik, finding_id, category, severity, metric, affected_count FROM findings WHERE category = 'incompatible_unit'")
+add("a7_stored_upsert", """
+SELECT state, cik, CASE WHEN digit > 2 AND digit % 3 = 1 THEN concat(legal_name, ' Holding') ELSE legal_name END AS legal_name, sic
+FROM companies, (SELECT unnest(['base and delta', 'merged']) AS state)""")
+add("a8_written_layout", """
+SELECT '1.0.0' AS version, '1.0.0' AS mapping, coalesce(CAST(fiscal_year AS VARCHAR), 'unknown') AS year_part, count(*) AS row_count,
+  count(DISTINCT cik) AS companies, true AS one_bucket_each FROM facts GROUP BY fiscal_year""")
+add("a9_dataset_views", """
+SELECT form, older, count(*) AS filings, CASE WHEN older THEN 0 ELSE count(primary_document) END AS documents, CAST(min(filing_date) AS VARCHAR) AS first_date,
+  (SELECT count(*) FROM findings) AS findings FROM filings, (SELECT unnest([true, false]) AS older) GROUP BY form, older""")
+add("a10_stored_scan", "SELECT cik, finding_id, category, severity, metric, affected_count FROM findings WHERE category = 'incompatible_unit'")
+add("a11_named_readers", """
+SELECT 'company' AS reader, cik AS row_key FROM companies WHERE cik = '0000000001'
+UNION ALL SELECT 'filings', accession_number FROM filings WHERE cik = '0000000001'
+UNION ALL SELECT 'normalized_facts', normalized_fact_id FROM facts WHERE cik = '0000000001'
+UNION ALL SELECT 'data_quality_findings', finding_id FROM findings WHERE cik = '0000000001'
+UNION ALL SELECT 'counts', concat('companies ', count(*)) FROM companies
+UNION ALL SELECT 'counts', concat('filings ', count(*)) FROM filings
+UNION ALL SELECT 'counts', concat('normalized_facts ', count(*)) FROM facts
+UNION ALL SELECT 'counts', 'signals 0'""")
 add("a12_agent_outputs", """
 SELECT concat(run_id, ':', r) AS output_id, run_id, cik, r AS role, '1' AS prompt_version, 'm' AS model_name, true AS validated,
   concat('{"size":', CAST(size AS VARCHAR), '}') AS output_json
