@@ -1012,7 +1012,7 @@ def _(i: Inputs) -> DataFrame:
 
 @query("j10_minimal_excerpt")
 def _(i: Inputs) -> DataFrame:
-    found = retrieval.search_hits(i.hits.where("rank <= 3"), i.chunks).join(i.queries, ["query_id", "cik"])
+    found = retrieval.search_hits(i.hits, i.chunks).join(i.queries, ["query_id", "cik"])
     return evidence.with_excerpt(found).select("query_id", "chunk_id", "excerpt", "excerpt_start")
 
 

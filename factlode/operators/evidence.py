@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factlode.functions.relations import let
 from factlode.functions.text import QUERY_TERM, casefold, strip_space, word_count
 from factlode.operators.retrieval import bm25_search
 
@@ -57,10 +58,9 @@ def excerpt_bounds(text: Column, query: Column, max_chars: int = EXCERPT_CHARS)
     The window starts a third before the earliest query term of four or more letters and is
     extended to sentence bounds.
     """
-    folded = casefold(text)
     terms = F.filter(F.regexp_extract_all(query, F.lit(QUERY_TERM), 0), lambda t: F.length(t) >= 4)
-    places = F.filter(F.transform(terms, lambda t: F.call_function("instr", folded, casefold(t))), lambda p: p > 0)
-    centre = F.coalesce(F.array_min(places) - 1, F.lit(0))
+    places = let(casefold(text), lambda folded: F.transform(terms, lambda t: F.call_function("instr", folded, casefold(t))))
+    centre = F.coalesce(F.array_min(F.filter(places, lambda p: p > 0)) - 1, F.lit(0))
     start = F.greatest(F.lit(0), centre - max_chars // 3)
     end = F.least(F.length(text), start + max_chars)
     before = F.substring(text, F.lit(1), start)

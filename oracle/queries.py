@@ -9,7 +9,7 @@ from factlode.operators.peers import FILTERS_APPLIED, NO_ASSETS
 import oracle.tables  # noqa: F401  (registers the CTEs after the chain)
 from oracle.build import query
 from oracle.chain import PERSISTENCE, Z, spread, text
-from oracle.tables import casefold, clean_lines, company_scores, phrase_scores, stemmed_hits, stems, tokens
+from oracle.tables import casefold, clean_lines, company_scores, excerpts, phrase_scores, stemmed_hits, stems, tokens
 
 SQL: dict[str, str] = {}
 
@@ -407,3 +407,20 @@ SELECT state, chunk_id, CAST(length AS BIGINT) AS length, count(*) AS terms, sum
   round((SELECT CAST(sum(length) AS DOUBLE) / count(*) FROM (SELECT chunk_id, max(length) AS length FROM refreshed_postings GROUP BY chunk_id)), 6) AS average_length
 FROM refreshed_postings JOIN (SELECT term, count(*) AS shared FROM refreshed_postings GROUP BY term) USING (term), (SELECT unnest(['segments', 'merged']) AS state)
 GROUP BY state, chunk_id, length""")
+add("e13_greedy_evidence", "SELECT cik, CAST(packet_order AS BIGINT) AS packet_order, signal_id, chunk_id FROM assigned")
+add("h13_citation", """
+SELECT evidence_id, concat('[', evidence_id[1:14], '] ', section, ', ', coalesce(accession_number, 'unknown accession'), ', ', source_url) AS citation FROM packets""")
+add("i10_evidence_packets", """
+SELECT evidence_id, cik, signal_id, signal_rank, section, subsection, chunk_id, CAST(from_at AS BIGINT) AS start_offset, CAST(to_at AS BIGINT) AS end_offset, excerpt,
+  round(greatest(score, 0::DOUBLE), 6) AS relevance_score, selection_reason, '1.0.0' AS parser_version, CAST(token_count AS BIGINT) AS token_count, accession_number,
+  source_url, content_sha256 FROM packets""")
+add("j11_evidence_spans", """
+SELECT evidence_id, signal_id, CAST(from_at AS BIGINT) AS start_offset, CAST(to_at AS BIGINT) AS end_offset, CAST(token_count AS BIGINT) AS token_count, selection_reason FROM packets""")
+add("j10_minimal_excerpt", f"""
+SELECT query_id, chunk_id, excerpt, CAST(excerpt_start AS BIGINT) AS excerpt_start FROM ({excerpts("""
+  SELECT h.query_id, h.chunk_id, c.body, q.query FROM hits h JOIN chunks c ON c.chunk_id = h.chunk_id AND c.cik = h.cik
+  JOIN queries q ON q.query_id = h.query_id AND q.cik = h.cik""")})""")
+add("j5_chunk_text", """
+SELECT accession_number, section, CAST(k AS BIGINT) AS sequence, CAST(min(base_at + line_at) AS BIGINT) AS start_offset,
+  CAST(min(base_at + line_at) + length(string_agg(line, chr(10) ORDER BY n)) AS BIGINT) AS end_offset, sha256(string_agg(line, chr(10) ORDER BY n)) AS text_hash
+FROM packed_lines GROUP BY accession_number, section, base_at, k""")

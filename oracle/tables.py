@@ -262,6 +262,68 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, cik ORDER BY
 FROM ({_scores('signal_words')})) WHERE rank <= 8
 """)
 
+# signals of a company one after the other: each takes its best chunk that no earlier one took
+cte("assigned", """
+SELECT cik, packet_order, signal_id, signal_rank, chunk_id FROM (
+  WITH RECURSIVE queue AS (
+    SELECT h.cik, s.signal_id, s.signal_rank, list(h.chunk_id ORDER BY h.rank, h.chunk_id) AS hits,
+      row_number() OVER (PARTITION BY h.cik ORDER BY s.signal_rank, s.signal_id) AS pos
+    FROM signal_hits h JOIN signal_queries s ON s.signal_id = h.query_id AND s.cik = h.cik GROUP BY h.cik, s.signal_id, s.signal_rank),
+  walk AS (
+    SELECT DISTINCT cik, CAST(0 AS BIGINT) AS pos, CAST([] AS VARCHAR[]) AS used, CAST(NULL AS VARCHAR) AS signal_id, CAST(0 AS BIGINT) AS signal_rank, CAST(NULL AS VARCHAR) AS chunk_id FROM queue
+    UNION ALL
+    SELECT cik, pos, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END, signal_id, signal_rank, pick
+    FROM (SELECT q.cik, q.pos, w.used, q.signal_id, q.signal_rank,
+            CASE WHEN len(w.used) < 12 THEN list_filter(q.hits, lambda h: NOT list_contains(w.used, h))[1] END AS pick
+          FROM walk w JOIN queue q ON q.cik = w.cik AND q.pos = w.pos + 1))
+  SELECT *, len(used) - 1 AS packet_order FROM walk WHERE chunk_id IS NOT NULL)
+""")
+
+
+def excerpts(rows: str) -> str:
+    """Rows with ``body`` and ``query``, their excerpt and where its first character lies (from 0)."""
+    terms = f"list_filter(regexp_extract_all(query, '[A-Za-z0-9][A-Za-z0-9_-]+'), lambda t: length(t) >= 4)"
+    places = f"list_filter(list_transform({terms}, lambda t: instr({casefold('body')}, {casefold('t')})), lambda p: p > 0)"
+    behind = lambda needle, size: f"CASE WHEN instr(reverse(before), {needle}) > 0 THEN length(before) - instr(reverse(before), {needle}) - {size - 1} ELSE -1 END"
+    return f"""
+SELECT *, trim(piece, {_SPACES}) AS excerpt,
+  opened + CASE WHEN trim(piece, {_SPACES}) = '' THEN 0 ELSE instr(piece, trim(piece, {_SPACES})) - 1 END AS excerpt_start
+FROM (SELECT *, substr(body, opened + 1, greatest(closed - opened, 0)) AS piece
+  FROM (SELECT *, CASE WHEN sentence > line THEN sentence + 2 ELSE line + 1 END AS opened,
+      CASE WHEN instr(substr(body, upto + 1), '. ') > 0 THEN upto + instr(substr(body, upto + 1), '. ') ELSE upto END AS closed
+    FROM (SELECT *, {behind("' .'", 2)} AS sentence, {behind('chr(10)', 1)} AS line
+      FROM (SELECT *, least(length(body), begun + 700) AS upto, substr(body, 1, begun) AS before
+        FROM (SELECT *, greatest(0, coalesce(list_min({places}) - 1, 0) - 233) AS begun FROM ({rows})))))
+)"""
+
+
+_SPACES = "concat(' ', " + ", ".join(f"chr({c})" for c in (*range(9, 14), *range(28, 32), 133, 160, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)) + ")"
+cte("packets", f"""
+SELECT concat('E-', upper(sha256(concat_ws('|', signal_id, chunk_id, CAST(from_at AS VARCHAR), CAST(to_at AS VARCHAR))))) AS evidence_id, *,
+  greatest(1, len(regexp_split_to_array(trim(regexp_replace(excerpt, '\\s+', ' ', 'g')), ' '))) AS token_count,
+  concat('Lexical match for ', test_id, '; filtered to CIK ', cik, ' and retained section ', section, '.') AS selection_reason
+FROM (SELECT *, start_offset + excerpt_start AS from_at, start_offset + excerpt_start + length(excerpt) AS to_at FROM ({excerpts("""
+  SELECT a.cik, a.signal_id, a.signal_rank, q.test_id, q.query, c.chunk_id, c.section, c.subsection, c.body, c.start_offset, c.accession_number, c.source_url,
+    c.content_sha256, CAST(h.score AS DOUBLE) AS score
+  FROM assigned a JOIN signal_queries q ON q.signal_id = a.signal_id AND q.cik = a.cik JOIN chunks c ON c.chunk_id = a.chunk_id AND c.cik = a.cik
+  JOIN signal_hits h ON h.query_id = a.signal_id AND h.chunk_id = a.chunk_id AND h.cik = a.cik""")}))
+""")
+
+# lines packed up to 2,400 characters: a line opens a chunk or joins the one before it
+cte("packed_lines", """
+SELECT accession_number, section, base_at, n, k, line_at, line FROM (
+  WITH RECURSIVE lines AS (
+    SELECT accession_number, section, start_at AS base_at, u.n AS n, trim(u.line) AS line
+    FROM (SELECT accession_number, section, start_at, unnest(list_transform(string_split(body, chr(10)), lambda l, i: {'n': i, 'line': l})) AS u FROM sections)),
+  walk AS (
+    SELECT accession_number, section, base_at, n, 0 AS k, length(line) AS held, CAST(0 AS BIGINT) AS line_at, line FROM lines WHERE n = 1
+    UNION ALL
+    SELECT l.accession_number, l.section, l.base_at, l.n, CASE WHEN w.held + 1 + length(l.line) > 2400 THEN w.k + 1 ELSE w.k END,
+      CASE WHEN w.held + 1 + length(l.line) > 2400 THEN length(l.line) ELSE w.held + 1 + length(l.line) END, w.line_at + length(w.line) + 1, l.line
+    FROM walk w JOIN lines l ON l.accession_number = w.accession_number AND l.base_at = w.base_at AND l.n = w.n + 1)
+  SELECT * FROM walk)
+""")
+
 # ------------------------------------------------------------------------------ claims
 cte("turns", """
 SELECT lpad(CAST(conv_id AS VARCHAR), 10, '0') AS run_id, CAST(conv_id AS VARCHAR) AS c, turn, role, length(text) AS n FROM conversations
