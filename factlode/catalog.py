@@ -353,6 +353,18 @@ def _(i: Inputs) -> DataFrame:
     return united
 
 
+@query("b2_window_rows")
+def _(i: Inputs) -> DataFrame:
+    """The rows of each kind that the requested window keeps."""
+    kept = history.requested_window(i.facts, i.results, i.tests, i.anomalies, *WINDOW)
+    keys = {"facts": "normalized_fact_id", "metric_results": "metric_result_id", "test_results": "test_result_id", "anomalies": "anomaly_id"}
+    united = None
+    for name, frame in kept.items():
+        rows = frame.select("cik", F.lit(name).alias("kind"), F.col(keys[name]).alias("row_id"))
+        united = rows if united is None else united.unionByName(rows)
+    return united
+
+
 @query("b3_rejection_cascade")
 def _(i: Inputs) -> DataFrame:
     return i.candidates.select("fact_id", "canonical_metric", F.coalesce("reject_reason", F.lit("accepted")).alias("outcome"))
@@ -656,6 +668,12 @@ def _(i: Inputs) -> DataFrame:
     return signals.select("cik", "run_position", "signal_id")
 
 
+@query("e15_capped_packets")
+def _(i: Inputs) -> DataFrame:
+    _signals, packets = audit.run_inputs(i.signal_table, i.packets)
+    return packets.select("cik", "run_position", "evidence_id", "content_sha256")
+
+
 # ------------------------------------------------------------------ F: sorts, limits, top-k
 def _positions(frame: DataFrame, key: str, order: list[Column], identifier: str) -> DataFrame:
     place = F.row_number().over(Window.partitionBy(key).orderBy(*order)).alias("position")
@@ -852,6 +870,15 @@ def _(i: Inputs) -> DataFrame:
                            F.sha2("text", 256).alias("text_hash"), "source_url")
 
 
+@query("i8_page_chunks")
+def _(i: Inputs) -> DataFrame:
+    """HTML filings decoded, cleaned, cut into sections and packed line by line, next to those without text."""
+    good, rejected = filings_text.document_text(adapters.filing_pages(i.spark, i.sf).withColumn("content", F.encode("html", "UTF-8")).drop("html"))
+    chunks = filings_text.filing_chunks(good, "\n").select(
+        "accession_number", "section", "sequence", "start_offset", "end_offset", F.sha2("text", 256).alias("text_hash"), "source_url")
+    return chunks.unionByName(rejected.select("accession_number", F.col("reason").alias("section")), allowMissingColumns=True)
+
+
 @query("i9_search")
 def _(i: Inputs) -> DataFrame:
     return retrieval.bm25_search(i.chunks, i.queries, 10, stemmed=False, phrases=True)

@@ -1,21 +1,10 @@
-"""Decimal types and the median of a sorted array.
+"""Decimal types.
 
 Money is DECIMAL(20,4); metric values are DECIMAL(35,15); statistics over series are doubles.
-Medians are carried doubled, as the sum of the two middle values.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 MONEY = "decimal(20,4)"
 METRIC = "decimal(35,15)"
 CONFIDENCE = "decimal(5,4)"
-
-
-def middle_sum(sorted_values: Column, size: Column) -> Column:
-    """Twice the median of a sorted array."""
-    low = F.element_at(sorted_values, F.floor((size + 1) / 2).cast("int"))
-    high = F.element_at(sorted_values, F.floor(size / 2).cast("int") + 1)
-    return low + high

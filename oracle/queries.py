@@ -123,6 +123,10 @@ WHERE reporting_basis IN ('instant', 'annual', 'quarterly') AND end_date BETWEEN
 add("b2_requested_window", " UNION ALL ".join(
     f"SELECT cik, count(*) AS row_count, '{kind}' AS kind FROM {table} WHERE end_date BETWEEN {FROM} AND {TO} GROUP BY cik"
     for kind, table in (("facts", "facts"), ("metric_results", "results"), ("test_results", "tests"), ("anomalies", "anomalies"))))
+add("b2_window_rows", " UNION ALL ".join(
+    f"SELECT cik, '{kind}' AS kind, {key} AS row_id FROM {table} WHERE end_date BETWEEN {FROM} AND {TO}"
+    for kind, table, key in (("facts", "facts", "normalized_fact_id"), ("metric_results", "results", "metric_result_id"),
+                             ("test_results", "tests", "test_result_id"), ("anomalies", "anomalies", "anomaly_id"))))
 add("b3_rejection_cascade", "SELECT fact_id, canonical_metric, coalesce(reject_reason, 'accepted') AS outcome FROM cand")
 add("b4_periods_align", """
 SELECT l.normalized_fact_id AS left_id, r.normalized_fact_id AS right_id FROM facts l JOIN facts r ON l.cik = r.cik AND l.end_date = r.end_date
@@ -276,6 +280,9 @@ add("e14_section_numbering", "SELECT accession_number, section, CAST(sequence AS
 add("e15_run_caps", """
 SELECT cik, row_number() OVER (PARTITION BY cik ORDER BY signal_rank) AS run_position, signal_id FROM signals QUALIFY run_position <= 8""")
 
+add("e15_capped_packets", """
+SELECT cik, row_number() OVER (PARTITION BY cik ORDER BY evidence_id) AS run_position, evidence_id, content_sha256 FROM packets QUALIFY run_position <= 12""")
+
 # ---------------------------------------------------------------------------------- F
 add("f1_fact_order", """
 SELECT cik, normalized_fact_id, row_number() OVER (PARTITION BY cik ORDER BY canonical_metric, end_date, coalesce(start_date, end_date), accession_number,
@@ -377,7 +384,7 @@ BREAKING = "address|article|aside|blockquote|br|div|footer|h1|h2|h3|h4|header|li
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&amp;", "&"))
 
 
-def _html() -> str:
+def _page_lines() -> str:
     """For the given pages: no skipped tag lies in another one of its kind, and these are the references they use."""
     sql = "regexp_replace(html, '(?s)<!--.*?-->', '', 'g')"
     for tag in SKIPPED:
@@ -386,7 +393,11 @@ def _html() -> str:
     sql = f"regexp_replace({sql}, '<[/!]?[A-Za-z][^>]*>', '', 'g')"
     for entity, character in ENTITIES:
         sql = f"replace({sql}, {text(entity)}, {text(character)})"
-    return f"SELECT page_id, array_to_string({clean_lines(sql)}, chr(10)) AS body FROM pages"
+    return clean_lines(sql)
+
+
+def _html() -> str:
+    return f"SELECT page_id, array_to_string({_page_lines()}, chr(10)) AS body FROM pages"
 
 
 add("j2_html_to_text", _html())
@@ -424,3 +435,17 @@ add("j5_chunk_text", """
 SELECT accession_number, section, CAST(k AS BIGINT) AS sequence, CAST(min(base_at + line_at) AS BIGINT) AS start_offset,
   CAST(min(base_at + line_at) + length(string_agg(line, chr(10) ORDER BY n)) AS BIGINT) AS end_offset, sha256(string_agg(line, chr(10) ORDER BY n)) AS text_hash
 FROM packed_lines GROUP BY accession_number, section, base_at, k""")
+# the pages have no headings: each is one section, whose lines are packed one after the other
+add("i8_page_chunks", f"""
+SELECT * FROM (WITH RECURSIVE lines AS (
+    SELECT page_id, u.n AS n, u.line AS line FROM (SELECT page_id, unnest(list_transform({_page_lines()}, lambda l, i: {{'n': i, 'line': l}})) AS u FROM pages)),
+  walk AS (
+    SELECT page_id, n, 0 AS k, length(line) AS held, CAST(0 AS BIGINT) AS line_at, line FROM lines WHERE n = 1
+    UNION ALL
+    SELECT l.page_id, l.n, CASE WHEN w.held + 1 + length(l.line) > 2400 THEN w.k + 1 ELSE w.k END,
+      CASE WHEN w.held + 1 + length(l.line) > 2400 THEN length(l.line) ELSE w.held + 1 + length(l.line) END, w.line_at + length(w.line) + 1, l.line
+    FROM walk w JOIN lines l ON l.page_id = w.page_id AND l.n = w.n + 1)
+  SELECT concat('P-', page_id) AS accession_number, 'Document' AS section, CAST(k AS BIGINT) AS sequence, CAST(min(line_at) AS BIGINT) AS start_offset,
+    CAST(min(line_at) + length(string_agg(line, chr(10) ORDER BY n)) AS BIGINT) AS end_offset, sha256(string_agg(line, chr(10) ORDER BY n)) AS text_hash,
+    any_value(url) AS source_url FROM walk JOIN pages USING (page_id) GROUP BY page_id, k
+  UNION ALL SELECT concat('P-', page_id), 'filing_text_empty', NULL, NULL, NULL, NULL, NULL FROM pages WHERE len({_page_lines()}) = 0)""")
