@@ -121,7 +121,9 @@ def _series_statistics(
 ) -> DataFrame:
     """Statistics of the rows that have a value; rows without one are passed over."""
     ordered, _ = series_window(by_basis)
-    valued = series.where(F.col("value").isNotNull())
+    # what follows is not pruned through the Python task
+    needed = ["cik", "metric_id", "metric_result_id", *PERIOD_COLUMNS, "value", *keep]
+    valued = series.where(F.col("value").isNotNull()).select(*needed)
     if history_ids:
         prefix = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         valued = valued.withColumn("input_metric_result_ids", F.collect_list("metric_result_id").over(prefix))
