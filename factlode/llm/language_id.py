@@ -166,8 +166,12 @@ def identify_languages(docs: DataFrame, held_out: int = 0, modulus: int = 5, id_
     return predicted.select("doc_id", (remainder(F.col("doc_id"), modulus) == held_out).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.0) -> DataFrame:
-    """The rows of `docs` (doc_id, text, lang, ...) whose language can be told: not `und`, and a cosine of `least` or more with it.
+def keep_identified(docs: DataFrame, deviations: float = 2.5, short: int = 24) -> DataFrame:
+    """The rows of `docs` (doc_id, text, lang, ...) whose language can be told: not `und`, and nearer to a language than noise is.
+
+    The cosine of text unlike a language has a standard deviation of 1 / sqrt(dimensions) around 0; a row needs `deviations` of them. Texts of
+    fewer than `short` distinct n-grams share few with a language in any case, so for them any cosine from 0 on will do. On held-out rows of
+    the given documents 1 of 1,960 lies below 2.5 deviations (a text of one letter, which is short); of random letters 94 in 100 do.
 
     Fits on all rows that have a language. All columns stay; null ids and repeated rows are judged by their text alone.
     """
@@ -183,6 +187,7 @@ def keep_identified(docs: DataFrame, least: float = 0.0) -> DataFrame:
             for value in batch.column(text):
                 found = grams_of(value.as_py() or "") if model.languages else None
                 vector = vectors.bundle(*found) if found is not None else None
+                least = 0.0 if found is None or len(found[0]) < short else deviations * model.dimensions**-0.5
                 keep.append(found is not None and float(np.max(model.prototypes @ vector)) >= least * float(np.linalg.norm(vector)))
             yield batch.filter(pa.array(keep, type=pa.bool_()))
 

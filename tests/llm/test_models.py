@@ -38,6 +38,18 @@ def test_held_out_accuracy_and_edge_cases(spark):
     assert {r.lang_pred for r in identify_languages(nobody).collect()} == {"und"}
 
 
+def test_noise_goes_and_clean_texts_stay(spark):
+    rng = random.Random(4)
+    letters = ["bcdfghjklmnpqrstvwxz", "абвгдежзиклмнопрстуфхцчшщыэюя"]
+    noise = [(1000 + k, " ".join("".join(rng.choice(letters[k % 2]) for _ in range(rng.randint(3, 9))) for _ in range(rng.randint(6, 30))), None) for k in range(400)]
+    clean = [(2000 + k, t, None) for k, t, _ in _languages(2, 200)]  # none of them is learned from
+    short = [(3000, "ba", None), (3001, "eit oui", None)]
+    frame = spark.createDataFrame(_languages(1, 300) + noise + clean + short, "doc_id long, text string, lang string").repartition(4)
+    kept = {r.doc_id for r in keep_identified(frame).collect()}
+    assert {d for d, _, _ in clean + short} <= kept and set(range(300)) <= kept
+    assert len(kept & {d for d, _, _ in noise}) <= 0.06 * len(noise)
+
+
 def test_prototypes_are_plain_bundles(spark):
     """Cosines equal those of vectors built letter by letter."""
     rows = _languages(2, 12)
