@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from factlode.functions import ids
 from factlode.functions.numbers import MONEY
+from factlode.functions.text import casefold
 
 OBSERVATION = (
     "STRUCT<start: DATE, `end`: DATE, val: STRING, accn: STRING, fy: INT, fp: STRING, form: STRING, filed: DATE, "
@@ -142,7 +143,7 @@ def quarantine(submissions: DataFrame, companyfacts: DataFrame) -> tuple[DataFra
         F.when(F.col("has_s").isNull() | F.col("has_f").isNull(), "payload_missing")
         .when(F.col("s_problem").isNotNull() | F.col("f_problem").isNotNull(), "invalid_payload")
         .when(~same(F.col("s.cik")) | ~same(F.col("f.cik")), "cik_mismatch")
-        .when(F.lower("s.name") != F.lower("f.entityName"), "entity_mismatch"),
+        .when(casefold(F.col("s.name")) != casefold(F.col("f.entityName")), "entity_mismatch"),
     )
     good = judged.where("reason IS NULL").select("cik", "s", "f", "s_manifest", "f_manifest")
     return good, judged.where("reason IS NOT NULL").select("cik", "reason")
