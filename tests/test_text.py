@@ -147,3 +147,11 @@ def test_folding_covers_the_alphabet(spark):
     rows = frame.select(text.casefold(F.col("t")).alias("c"), text.fold_accents(F.col("t")).alias("a"), text.document_tokens(F.col("t")).alias("d")).collect()
     assert [r.c for r in rows] == [w.casefold() for w in words]
     assert [r.a for r in rows[:5]] == ["orseg", "zizek", "łodz", "ete", "sisli"] and all(len(r.d) == 1 for r in rows)
+
+
+def test_case_folding_tells_other_characters_in_few_steps(spark):
+    """The class holds runs, and only characters beyond Latin-1 are looked for in them; it matches the folded characters and no other."""
+    assert len(text._CASE_CLASS) < 200
+    every = "".join(map(chr, [*range(1, 0xD800), *range(0xE000, 0x1F000)]))
+    found = spark.createDataFrame([(every,)], "t string").select(F.regexp_extract_all("t", F.lit(text._CASE_CLASS), F.lit(0)).alias("f")).first().f
+    assert found == sorted(text._CASE_FOLDED)
