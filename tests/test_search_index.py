@@ -131,3 +131,17 @@ def test_stems_by_the_paper_word_by_word(spark):
     words |= {"".join(rng.choice("abcdeilmnostuvwxyz") for _ in range(rng.randint(0, 5))) + "".join(rng.choice(ends) for _ in range(rng.randint(1, 3))) for _ in range(20_000)}
     got = spark.createDataFrame([(w,) for w in sorted(words)], "w string").select("w", porter(F.col("w")).alias("s")).collect()
     assert [(r.w, r.s, stem(r.w)) for r in got if r.s != stem(r.w)] == []
+
+
+def test_a_narrowed_index_holds_the_asked_tokens_alone(spark):
+    """What a search doesn't ask for is left out where postings are unfolded; statistics of the corpus stay whole."""
+    chunks = frame(spark, rows_of(5))
+    for stemmed, asked in ((False, ["reported", "income", "absent"]), (True, ["report", "incom"])):
+        index = OneTimeIndex(chunks, stemmed)
+        narrow = index.narrowed(spark.createDataFrame([(t,) for t in [*asked, None, asked[0]]], "token string"))
+        name = "stem" if stemmed else "term"
+        pick = lambda i: sorted(map(str, i.postings().where(F.col(name).isin(asked)).select("cik", "chunk_id", "term", "stem", "places").collect()))
+        assert pick(narrow) == pick(index) and narrow.postings().where(~F.col(name).isin(asked)).isEmpty()
+        counts = lambda i: {r.term: r.document_frequency for r in i.frequencies(stemmed).collect() if r.term in asked}
+        assert counts(narrow) == counts(index) and narrow.frequencies(stemmed).count() == len(counts(index))
+        assert narrow.corpus().first() == index.corpus().first()
