@@ -66,3 +66,14 @@ def test_rows_dealt_by_anything_give_the_same_results(raw):
     dealt = metrics.metric_results(facts).select(*columns).collect()
     scattered = metrics.metric_results(facts.repartition(5, "normalized_fact_id")).select(*columns).collect()
     assert dealt and sorted(map(str, dealt)) == sorted(map(str, scattered))
+
+
+def test_tasks_follow_the_rows_and_lines_are_summed_once(spark, raw, monkeypatch):
+    """A task holds as many quarter rows whatever the files are cut into, and no part of a query reads the line items again."""
+    monkeypatch.setattr(adapters, "QUARTERS_PER_TASK", 4)
+    quarters = spark.range(0, 200, 1, 1).selectExpr("lpad(CAST(id AS STRING), 10, '0') AS cik", "id AS n")
+    dealt = adapters.by_company(quarters)
+    assert dealt.rdd.getNumPartitions() == 50
+    assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, quarters.collect()))
+    summary = normalize.summary_counts(raw, normalize.choose_facts(normalize.classify_candidates(raw)))
+    assert "lineitem" not in _plan(summary) and "l_suppkey" not in _plan(summary)
