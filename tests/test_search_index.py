@@ -1,5 +1,7 @@
 """The stored index: segments, phrases and stems against plain loops."""
 
+import contextlib
+import io
 import math
 import random
 import re
@@ -145,3 +147,16 @@ def test_a_narrowed_index_holds_the_asked_tokens_alone(spark):
         counts = lambda i: {r.term: r.document_frequency for r in i.frequencies(stemmed).collect() if r.term in asked}
         assert counts(narrow) == counts(index) and narrow.frequencies(stemmed).count() == len(counts(index))
         assert narrow.corpus().first() == index.corpus().first()
+
+
+def test_postings_tokenise_a_text_once(spark):
+    """No filter on the entries is put before they are unfolded; a chunk without tokens has no posting."""
+    rows = [("1", "c1", "10-K", "a1", "Item 1", None, "Wares and wares"), ("1", "c2", "10-K", "a1", ".", None, ""), ("2", "c3", "10-Q", "a2", "Item 2", "x", "and")]
+    chunks = spark.createDataFrame(rows, DDL)
+    found = retrieval.document_frequency(retrieval.postings(chunks))
+    assert {r.term: r.document_frequency for r in found.collect()} == {"item": 2, "1": 1, "2": 1, "wares": 1, "and": 2, "x": 1}
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        found.explain(extended=True)
+    optimized = text.getvalue().split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    assert optimized.count("sort_array") == 1
